@@ -4,8 +4,8 @@ Keys (a 64-bit hash of the text) are drawn with a weight that is the row's size.
 Quantiles of the sample are the splitters: they range-partition the rows into many
 more cells than shards. The bytes of every cell are then counted exactly; a cell
 whose bytes are over twice its share, as one that holds a very common text, is
-subdivided by the id. Shards are runs of whole cells, cut where the exact running
-total passes a multiple of total / shards.
+subdivided by the id. Shards are runs of cells, cut between groups of equal keys,
+where the exact running total passes a multiple of total / shards.
 
 Only DataFrame operations run here. Texts are read once and never shuffled. What is
 broadcast or brought together is one row a cell, and their number is bounded by
@@ -47,8 +47,7 @@ def shard_by_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per row of ``docs``: id, size, text_crc32, law, shard, slot, grown_shard.
 
     size: UTF-8 bytes of the text (null: none) plus 1. law is ``bytes``: sizes of shards
-    differ by about one part in ``cells_per_shard``, or by the largest row if that is
-    more. slot: the row's place in its shard, 0 and on without gaps. Equal texts share
+    differ by no more than the largest group of equal texts in a cell. slot: the row's place in its shard, 0 and on without gaps. Equal texts share
     a shard unless together they outgrow a cell. grown_shard is null under this law.
 
     Null text: size 1, CRC 0. Null and repeated ids keep their own rows and slots. With
@@ -70,19 +69,22 @@ def shard_by_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     dealt = stage(ranged.join(F.broadcast(parts), "range").withColumn("part", F.pmod(F.xxhash64("id", F.lit(11)), F.col("parts")).cast("int")).drop("parts"), "dealt")
 
     before = Window.orderBy("range", "part").rowsBetween(Window.unboundedPreceding, -1)
+    cell = dealt.groupBy("range", "part").agg(F.sum("size").alias("bytes"))  # at most 3 * `cells` rows
+    cell = stage(cell.select("range", "part", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("before")).coalesce(1), "cells")
+
+    upto = F.sum("size").over(Window.partitionBy("range", "part").orderBy("key").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    same = F.sum("size").over(Window.partitionBy("range", "part", "key"))
+    middle = F.col("before") + upto - same / 2
+    shard = F.least(F.lit(shards - 1), F.floor(middle * F.lit(shards / max(1, total)))).cast("int")
+    placed = stage(dealt.join(F.broadcast(cell), ["range", "part"]).withColumn("shard", shard).drop("before"), "placed")
+
     ahead = Window.partitionBy("shard").orderBy("range", "part").rowsBetween(Window.unboundedPreceding, -1)
-    middle = F.coalesce(F.sum("bytes").over(before), F.lit(0)) + F.col("bytes") / 2
-    plan = (
-        dealt.groupBy("range", "part").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))  # at most 3 * `cells` rows
-        .withColumn("shard", F.least(F.lit(shards - 1), F.floor(middle * F.lit(shards / max(1, total)))).cast("int"))
-        .withColumn("offset", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
-        .select("range", "part", "shard", "offset")
-    )
-    plan = stage(plan.coalesce(1), "cells")
-    place = Window.partitionBy("range", "part").orderBy("key", "id")
+    offset = placed.groupBy("range", "part", "shard").agg(F.count("*").alias("n"))  # at most 3 * `cells` + `shards` rows
+    offset = stage(offset.select("range", "part", "shard", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("offset")).coalesce(1), "offsets")
+    place = F.row_number().over(Window.partitionBy("range", "part", "shard").orderBy("key", "id"))
     return (
-        dealt.withColumn("place", F.row_number().over(place))
-        .join(F.broadcast(plan), ["range", "part"])
+        placed.withColumn("place", place)
+        .join(F.broadcast(offset), ["range", "part", "shard"])
         .select(
             F.col("id").alias(id_col),
             "size",
