@@ -1,23 +1,65 @@
-"""From raw documents to packed training sequences."""
+"""From raw documents to packed training sequences, in five stages.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; what
+it returns is written as Parquet and read again as the next one's docs.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quirelight.llm.common import stage
 from quirelight.llm.exact_dedup import exact_dedup
+from quirelight.llm.langid import identify
+from quirelight.llm.packing import pack
+from quirelight.llm.simhash import simhash_groups
+
+LEAST_SCORE = 0.5  # of a language
+
 
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents go that have no letters or whose language stays open."""
+    found = identify(docs).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    return docs.join(found.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
 
-def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+
+def one_of_equal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the one with the largest doc_id stays."""
     kept = exact_dedup(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+
+
+def one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the least doc_id stays."""
+    kept = simhash_groups(docs).where("doc_id = component_id").select("doc_id")
+    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that occur elsewhere are cut out of texts; n_chars follows. No row goes."""
+    from quirelight.llm.suffix_dedup import remove_repeats
+
+    cut = remove_repeats(docs, keep=[c for c in docs.columns if c not in ("doc_id", "text")])
+    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack(docs)
 
 
-STAGES = [("exact_dedup", drop_exact_copies)]
-ORACLE_SQL = None
+STAGES = [
+    ("language_id", known_language),
+    ("exact_dedup", one_of_equal),
+    ("simhash_near_dedup", one_of_near),
+    ("suffix_array_dedup", without_repeats),
+    ("best_fit_packing", packed),
+]
+ORACLE_SQL = None  # language ID, SimHash and best fit are beyond SQL; tests hold each stage against brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, f in STAGES:
-        docs = f(spark, docs, sf_dir)
-    return docs
+    for name, f in STAGES[:-1]:
+        docs = stage(f(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
