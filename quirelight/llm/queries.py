@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import LOWER, UPPER, table
 
+TOKENIZER = os.environ.get("QUIRELIGHT_SENTENCEPIECE", "/opt/tokenizers/piece_bpe_32k.model")
+
+
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import identify
@@ -33,6 +37,12 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str, model: str = TOKENIZER) -> DataFrame:
+    from .sentencepiece_fst import encode_table, read_model
+
+    return encode_table(table(spark, sf_dir, "documents"), read_model(model))
+
+
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_extract import extract_text
 
