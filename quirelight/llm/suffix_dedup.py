@@ -34,38 +34,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import require, stage
+from .hashing import Hashes, compress, texts_of
 from .suffix_sort import repeated_starts
 
 _BLOCK = 1 << 21  # bytes of a text that anchors are searched in at a time
-_r = np.random.default_rng(400)
-_TABLES = [_r.integers(0, 2**64, 256, dtype=np.uint64) for _ in range(2)]
-_BASES = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F]
-_powers: dict[int, np.ndarray] = {}
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    known = _powers.get(base)
-    if known is None or len(known) < n:
-        known = np.full(max(n, 1 << 17), base, np.uint64)
-        known[0] = 1
-        _powers[base] = known = np.multiply.accumulate(known)
-    return known
-
-
-class _Hashes:
-    """Hashes of any substrings of a text: mixed polynomials modulo 2^64 over random byte values."""
-
-    def __init__(self, x: np.ndarray, which: int):
-        base = _BASES[which]
-        self.up = _power(base, len(x) + 1)
-        self.sum = np.zeros(len(x) + 1, np.uint64)
-        np.cumsum(_TABLES[which][x] * _power(pow(base, -1, 1 << 64), len(x) + 1)[: len(x)], out=self.sum[1:])
-
-    def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        h = (self.sum[b] - self.sum[a]) * self.up[a] + (b - a).astype(np.uint64) * np.uint64(0xFF51AFD7ED558CCD)
-        for _ in range(2):
-            h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        return h ^ (h >> np.uint64(32))
 
 
 def _slide(x: np.ndarray, width: int, op) -> np.ndarray:
@@ -90,25 +62,21 @@ def anchors(text: bytes, length: int, gram: int) -> tuple[np.ndarray, np.ndarray
         x = np.frombuffer(text, np.uint8, high - low, low)
         count = len(x) - gram + 1
         start = np.arange(count)
-        h = _Hashes(x, 0)(start, start + gram)
+        h = Hashes(x, 0)(start, start + gram)
         least = np.zeros(count + room, np.uint64)
         least[room:count] = _slide(h, room + 1, np.minimum)
         pos = np.flatnonzero(_slide(least, room + 1, np.maximum) == h)
         pos = pos[(pos + low >= at) & (pos + low < at + _BLOCK)]
         a, b = np.maximum(pos - room, 0), np.minimum(pos + length, len(x))
-        reach = _Hashes(x, 1)(a, b) + (pos - a).astype(np.uint64)
+        reach = Hashes(x, 1)(a, b) + (pos - a).astype(np.uint64)
         out.append((pos + low, h[pos].view(np.int64), reach.view(np.int64)))
     return tuple(map(np.concatenate, zip(*out))) if out else (np.empty(0, np.int64),) * 3
 
 
-def _texts(column: pa.Array) -> list[bytes]:
-    return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
-
-
 def _anchor_rows(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            k1, k2, texts = x.column(0).to_numpy(), x.column(1).to_numpy(), _texts(x.column(2))
+            k1, k2, texts = x.column(0).to_numpy(), x.column(1).to_numpy(), texts_of(x.column(2))
             for at in range(0, len(texts), 256):
                 got = [anchors(t, length, gram) for t in texts[at : at + 256]]
                 each = [len(g[0]) for g in got]
@@ -119,16 +87,6 @@ def _anchor_rows(length: int, gram: int):
     return run
 
 
-def _compress(names: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = zstandard.ZstdCompressor(level=1)
-        for x in batches:
-            packed = pa.array([z.compress(t) for t in _texts(x.column(0))], pa.binary())
-            yield pa.RecordBatch.from_arrays([packed, *x.columns[1:]], names)
-
-    return run
-
-
 def _cut(length: int, gram: int):
     """(z, wanted) -> segments: the reach of every wanted anchor."""
 
@@ -240,7 +198,7 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 400, g
     mixed = reaches.groupBy("core").agg(F.count("*").alias("reaches")).where("reaches > 1")
     wanted = reaches.join(mixed, "core").select("rep.k1", "rep.k2", F.struct("core", (F.col("reaches") > most_reaches).alias("hot"), "rep.pos", "n").alias("w"))
     wanted = wanted.groupBy("k1", "k2").agg(F.collect_list("w").alias("wanted"))  # of one text
-    packed = keyed.select("text", "k1", "k2").mapInArrow(_compress(["z", "k1", "k2"]), "z binary, k1 long, k2 long")
+    packed = keyed.select("text", "k1", "k2").mapInArrow(compress(["z", "k1", "k2"]), "z binary, k1 long, k2 long")
     joined = packed.join(wanted.hint("shuffle_hash"), ["k1", "k2"]).select("z", "k1", "k2", "wanted")
     segments = stage(joined.mapInArrow(_cut(length, gram), "core long, hot boolean, k1 long, k2 long, begin int, anchor int, n long, seg binary"), "segments")
     small = segments.where("NOT hot").select("core", "k1", "k2", "begin", "n", "seg")
@@ -300,7 +258,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = repeated_spans(rows.select("k1", "k2", "text"), **options).groupBy("k1", "k2").agg(F.collect_list("b").alias("b"), F.collect_list("e").alias("e"))  # of one text
     names = ["z", *rows.columns[1:]]
     kinds = [f"{n} {t}" for n, t in rows.dtypes[1:]]
-    packed = rows.mapInArrow(_compress(names), ", ".join(["z binary", *kinds]))
+    packed = rows.mapInArrow(compress(names), ", ".join(["z binary", *kinds]))
     joined = packed.join(spans.hint("shuffle_hash"), ["k1", "k2"], "left").select("z", "b", "e", *names[3:])
     more = ["n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["left_text"] * (keep is not None)
     out = joined.mapInArrow(_removed([*names[3:], *more], keep is not None), ", ".join([*kinds[2:], "n_bytes long, n_removed long, n_spans long, kept_sha256 string", *["left_text string"] * (keep is not None)]))

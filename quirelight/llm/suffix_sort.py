@@ -78,7 +78,7 @@ def common_prefixes(order: np.ndarray, buffer: bytes, most: int) -> np.ndarray:
         x = words[order[left] + at] ^ words[order[left - 1] + at]
         ended = x != 0
         low = x[ended]
-        zeros = np.bitwise_count((low & (~low + np.uint64(1))) - np.uint64(1)) // 8
+        zeros = np.bitwise_count((low & (~low + np.uint64(1))) - np.uint64(1)).astype(np.int64) // 8
         out[left[ended]] = at + zeros
         left = left[~ended]
     out[left] = most

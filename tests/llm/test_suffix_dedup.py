@@ -72,3 +72,12 @@ def test_text_and_columns(spark):
     got = {r["doc_id"]: (r["source"], r["text"]) for r in remove_repeats(df, keep=["source"], length=10, gram=4).collect()}
     assert got == {1: ("k", ""), 2: (None, "a"), 3: ("n", "")}
     assert remove_repeats(df.where("false"), keep=[]).collect() == []
+
+
+def test_long_common_prefixes(spark):
+    segments = [b"ab" * 400, b"ab" * 200 + b"c" + b"ab" * 200]
+    order, base, buffer = sparse_suffix_array(segments, 399)
+    keys = [buffer[i : i + 399] for i in order]
+    assert keys == sorted(keys)
+    for p, a, b in zip(common_prefixes(order, buffer, 399)[1:], keys, keys[1:]):
+        assert p == next((k for k in range(399) if a[k] != b[k]), 399)
