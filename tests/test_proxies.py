@@ -5,8 +5,9 @@ from pathlib import Path
 
 import duckdb
 import pytest
-from quirelight.plans import proxies
+from quirelight.plans import documents, proxies
 
+QUERIES, SQL = proxies.queries() | documents.queries(), proxies.oracle_sql() | documents.oracle_sql()
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no test data")
 
@@ -23,10 +24,10 @@ def rows(cells):
     return sorted(str(tuple(round(v, 9) + 0.0 if isinstance(v, float) and not math.isnan(v) else v for v in r)) for r in cells)
 
 
-@pytest.mark.parametrize("name", proxies.queries())
+@pytest.mark.parametrize("name", SQL)
 def test_query(spark, duck, name):
-    got = proxies.queries()[name](spark, SF)
-    want = duck.sql(proxies.oracle_sql()[name])
+    got = QUERIES[name](spark, SF)
+    want = duck.sql(SQL[name])
     cols = sorted(want.columns)
     assert cols == sorted(got.columns)
     found = rows(got.select(cols).collect())
