@@ -2,21 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Ends a lineage: through the shared checkpoint folder where the cluster names one, so
-    that a lost executor costs a reread; in memory and on disk where none is set."""
-    base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        return df.persist()
-    path = f"{base.rstrip('/')}/quirelight/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from ..staging import stage
 
 
 def canonical(objects: DataFrame, payload: list[str], order: str, within: list[str] | None = None) -> DataFrame:
@@ -38,20 +27,20 @@ def closure(seeds: DataFrame, edges: DataFrame, keys: list[str] | None = None, m
     """All that seeds reach: seeds (keys, node), edges (keys, src, dst). Cycles are fine."""
     keys = keys or []
     cols = [*keys, "node"]
-    seen = frontier = written(seeds.select(cols).distinct(), "seen")
+    seen = frontier = stage(seeds.select(cols).distinct(), "seen")
     for _ in range(most):
         step = frontier.join(edges.withColumnRenamed("src", "node"), cols).select(*keys, F.col("dst").alias("node")).distinct()
-        frontier = written(step.join(seen, cols, "left_anti"), "frontier")
+        frontier = stage(step.join(seen, cols, "left_anti"), "frontier")
         if frontier.isEmpty():
             break
-        seen = written(seen.unionByName(frontier), "seen")
+        seen = stage(seen.unionByName(frontier), "seen")
     return seen
 
 
 def inherited(nodes: DataFrame, id_col: str, parent: str, value: str, most: int = 100) -> DataFrame:
     """Adds ``inherited``: a node's value or its nearest ancestor's that has one."""
     own = nodes.select(F.col(id_col).alias("_id"), F.col(parent).alias("_up"), F.col(value).alias("_value"))
-    state = written(own.withColumnRenamed("_id", id_col), "inherited")
+    state = stage(own.withColumnRenamed("_id", id_col), "inherited")
     for _ in range(most):
         todo = state.where("_value IS NULL AND _up IS NOT NULL")
         if todo.isEmpty():
@@ -59,7 +48,7 @@ def inherited(nodes: DataFrame, id_col: str, parent: str, value: str, most: int
         up = own.select(F.col("_id").alias("_k"), F.col("_up").alias("_up2"), F.col("_value").alias("_value2"))
         stepped = state.join(up, (state["_up"] == up["_k"]) & state["_value"].isNull(), "left")
         moved = F.col("_value").isNull() & F.col("_up").isNotNull()
-        state = written(stepped.select(id_col, F.when(moved, F.col("_up2")).otherwise(F.col("_up")).alias("_up"), F.coalesce("_value", "_value2").alias("_value")), "inherited")
+        state = stage(stepped.select(id_col, F.when(moved, F.col("_up2")).otherwise(F.col("_up")).alias("_up"), F.coalesce("_value", "_value2").alias("_value")), "inherited")
     return nodes.join(state.select(id_col, F.col("_value").alias("inherited")), id_col)
 
 
