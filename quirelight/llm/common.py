@@ -1,59 +1,15 @@
-"""What the operators of this package share: the shared folder, staged tables, column helpers."""
+"""What the operators of this package share: column helpers; staged tables from the library."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_made: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Where it is unset a temporary folder is taken, but only on a local master;
-    on a cluster that would be one machine's own disk, so this raises instead.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    base = f"file://{tempfile.mkdtemp(prefix='quirelight-')}"
-    spark.conf.set("spark.checkpoint.dir", base)
-    _made.append((spark, base))
-    return base
-
+from ..staging import delete, shared_dir, stage
 
-@atexit.register
-def _clean() -> None:
-    for spark, path in _made:
-        try:
-            delete(spark, path)
-        except Exception:  # noqa: BLE001  the JVM may have ended before
-            import shutil
+__all__ = ["LOWER", "UPPER", "delete", "lower_ascii", "require", "shared_dir", "stage", "table", "text_or_empty"]
 
-            shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    """Delete a folder through Spark's own file systems."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends there,
-    and a lost executor costs no more than rereading it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quirelight/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def text_or_empty(name: str) -> Column:
