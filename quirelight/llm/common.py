@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..staging import delete, shared_dir, stage
 
-__all__ = ["LOWER", "UPPER", "delete", "lower_ascii", "require", "shared_dir", "stage", "table", "text_or_empty"]
+__all__ = ["LOWER", "UPPER", "delete", "in_batches", "lower_ascii", "require", "shared_dir", "stage", "table", "text_or_empty"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -25,6 +25,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def in_batches(df: DataFrame, rows: int = 500) -> DataFrame:
+    """For what reads texts in Python: Arrow batches of at most so many rows, as texts may
+    be long and batches are held whole on both sides. Lowers the session's setting only."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(df.sparkSession.conf.get(key))
+    if now <= 0 or now > rows:
+        df.sparkSession.conf.set(key, str(rows))
+    return df
+
+
 def require(df: DataFrame, *names: str) -> None:
     missing = [x for x in names if x not in df.columns]
     if missing:

@@ -52,7 +52,7 @@ def compress(names: list[str]):
     """For mapInArrow: the first column, a text, becomes Zstandard bytes; null counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = zstandard.ZstdCompressor(level=1)
+        z = zstandard.ZstdCompressor(level=3)
         for x in batches:
             packed = pa.array([z.compress(t) for t in texts_of(x.column(0))], pa.binary())
             yield pa.RecordBatch.from_arrays([packed, *x.columns[1:]], names)

@@ -8,28 +8,30 @@ words. A text's log score is the sum of ln S over its words.
 
 Counting, joining and summing are three relations over n-grams of all orders, each a
 64-bit hash:
-1. requests (chunk, part, grams with counts): documents are dealt to chunks, and a
+1. requests (chunk, n, part, grams with counts): documents are dealt to chunks, and a
    chunk's n-grams are exploded and counted before they travel;
 2. counts: the count table, partitioned into ranges of the hash. Each partition sums
-   the requests and is joined with them: a reply (chunk, part, totals);
+   the requests and is joined with them: a reply (chunk, n, part, totals);
 3. scores: replies meet their chunk's documents, and are summed for each document.
 
-A row of (1) and (2) holds a sorted run of grams as packed differences instead of one
-gram, which makes them several times smaller; the join is a merge of sorted runs.
+A row of (1) and (2) holds a sorted run of n-grams as packed differences instead of one
+n-gram, which makes them several times smaller; the join is a merge of sorted runs.
 Numbers of chunks and parts follow the corpus, so that either is of bounded size.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import require
+from .common import in_batches, require
 from .hashing import Hashes, compress, mix
 
 _SPACE = np.zeros(256, bool)
@@ -60,31 +62,30 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.concatenate(sizes)
 
 
-def gram_hashes(words: np.ndarray, sizes: np.ndarray, order: int) -> list[np.ndarray]:
+def gram_hashes(words: np.ndarray, sizes: np.ndarray, order: int) -> Iterator[np.ndarray]:
     """For each order from 1 on, the hash of the n-gram that ends at each word; n-grams
     that would begin before their text have the hash 0."""
-    place = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    out = [np.maximum(mix(words), np.uint64(1))]
+    place = np.arange(len(words), dtype=np.int32) - np.repeat((np.cumsum(sizes) - sizes).astype(np.int32), sizes)
+    grams = np.clip(mix(words), np.uint64(1), _ALL - np.uint64(1))
+    yield grams
     for n in range(2, order + 1):
         longer = np.zeros(len(words), np.uint64)
-        longer[1:] = mix(out[-1][:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:] + np.uint64(n))
-        longer = np.minimum(np.maximum(longer, np.uint64(1)), _ALL - np.uint64(1))
+        longer[1:] = np.clip(mix(grams[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:] + np.uint64(n)), np.uint64(1), _ALL - np.uint64(1))
         longer[place < n - 1] = 0
-        out.append(longer)
-    out[0] = np.minimum(out[0], _ALL - np.uint64(1))
-    return out
+        grams = longer
+        yield grams
 
 
-def counted(grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """(grams in order, counts, the place of each n-gram in them by order). 0 is left out:
-    its place is -1. The number of words comes last, as one more gram."""
-    flat = np.concatenate(grams)
-    some = flat != 0
-    keys, place, counts = np.unique(flat[some], return_inverse=True, return_counts=True)
-    where = np.full(len(flat), -1, np.int64)
+def counted(grams: np.ndarray, first: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(n-grams of an order, sorted, their counts, the place in them of each word's n-gram).
+    0 is left out: its place is -1. ``first``: the number of words comes last, as one more."""
+    some = grams != 0
+    keys, place, counts = np.unique(grams[some], return_inverse=True, return_counts=True)
+    where = np.full(len(grams), -1, np.int32)
     where[some] = place
-    n = len(grams[0])
-    return np.append(keys, _ALL), np.append(counts, n), [where[i * n : i * n + n] for i in range(len(grams))]
+    if first:
+        keys, counts = np.append(keys, _ALL), np.append(counts, len(grams))
+    return keys, counts, where
 
 
 def _pack(x: np.ndarray, z: zstandard.ZstdCompressor) -> bytes:
@@ -102,22 +103,21 @@ def _part_bounds(keys: np.ndarray, parts: int) -> np.ndarray:
     return np.append(np.searchsorted(keys, low), len(keys))
 
 
+_REQUEST = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+
+
 def _requests(order: int, parts: int):
     def run(t: pa.Table) -> pa.Table:
         unz, z = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
         words, sizes = word_hashes([unz.decompress(d) for d in t["z"].to_pylist()])
-        keys, counts, _ = counted(gram_hashes(words, sizes, order))
-        at = _part_bounds(keys, parts)
-        some = np.flatnonzero(np.diff(at))
-        runs = [(keys[at[p] : at[p + 1]], counts[at[p] : at[p + 1]]) for p in some]
-        return pa.table(
-            {
-                "chunk": pa.array(np.full(len(some), t["chunk"][0].as_py(), np.int32)),
-                "part": pa.array(some.astype(np.int32)),
-                "grams": pa.array([_pack(np.diff(k, prepend=np.uint64(0)), z) for k, _ in runs], pa.binary()),
-                "counts": pa.array([_pack(c, z) for _, c in runs], pa.binary()),
-            }
-        )
+        rows = []
+        for n, grams in enumerate(gram_hashes(words, sizes, order), 1):
+            keys, counts, _ = counted(grams, n == 1)
+            at = _part_bounds(keys, parts)
+            for p in np.flatnonzero(np.diff(at)):
+                run = slice(at[p], at[p + 1])
+                rows.append((t["chunk"][0].as_py(), n, int(p), _pack(np.diff(keys[run], prepend=np.uint64(0)), z), _pack(counts[run], z)))
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows), _REQUEST)], ["chunk", "n", "part", "grams", "counts"])
 
     return run
 
@@ -129,47 +129,49 @@ def _count_and_join(t: pa.Table) -> pa.Table:
     total = np.bincount(place, np.concatenate([_unpack(d, unz) for d in t["counts"].to_pylist()])).astype(np.uint64)
     ends = np.cumsum([len(r) for r in runs])[:-1]
     replies = [_pack(total[p], z) for p in np.split(place, ends)]
-    return pa.table({"chunk": t["chunk"], "part": t["part"], "totals": pa.array(replies, pa.binary())})
-
-
-def score_words(grams: list[np.ndarray], where: list[np.ndarray], totals: np.ndarray, sizes: np.ndarray, backoff: float) -> np.ndarray:
-    """ln S of each word. totals: corpus counts by place, the number of words last."""
-    document = np.repeat(np.arange(len(sizes)), sizes)
-    others = []  # of each order's n-gram ending at a word: its count in other documents
-    for w in where:
-        has = np.flatnonzero(w >= 0)
-        _, same, own = np.unique(document[has] * len(totals) + w[has], return_inverse=True, return_counts=True)
-        count = np.zeros(len(w))
-        count[has] = totals[w[has]].astype(float) - own[same]
-        others.append(count)
-    everything = float(totals[-1])
-    score = np.where(others[0] > 0, others[0], backoff) / max(1.0, everything)
-    for n in range(1, len(others)):
-        context = np.ones(len(score))
-        context[1:] = others[n - 1][:-1]
-        seen = others[n] > 0
-        score = np.where(seen, others[n] / np.where(seen, context, 1), np.where(where[n] >= 0, backoff * score, score))
-    return np.log(score)
+    return pa.table({"chunk": t["chunk"], "n": t["n"], "part": t["part"], "totals": pa.array(replies, pa.binary())})
+
+
+def from_others(where: np.ndarray, totals: np.ndarray, document: np.ndarray) -> np.ndarray:
+    """For each word, how often other documents have its n-gram; 0 where it has none."""
+    has = np.flatnonzero(where >= 0)
+    _, same, own = np.unique(document[has].astype(np.int64) * len(totals) + where[has], return_inverse=True, return_counts=True)
+    out = np.zeros(len(where))
+    out[has] = totals[where[has]].astype(float) - own[same]
+    return out
 
 
 def _scores(order: int, backoff: float, names: list[str]):
     def run(t: pa.Table, replies: pa.Table) -> pa.Table:
         unz = zstandard.ZstdDecompressor()
         words, sizes = word_hashes([unz.decompress(d) for d in t["z"].to_pylist()])
-        grams = gram_hashes(words, sizes, order)
-        keys, _, where = counted(grams)
+        document = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         replies = replies.sort_by("part")
-        totals = np.concatenate([_unpack(d, unz) for d in replies["totals"].to_pylist()])
-        if len(totals) != len(keys):
-            raise ValueError("replies don't match the chunk's n-grams")
-        each = np.concatenate([[0.0], np.cumsum(score_words(grams, where, totals, sizes, backoff))])
+        score, context = None, None
+        for n, grams in enumerate(gram_hashes(words, sizes, order), 1):
+            keys, _, where = counted(grams, n == 1)
+            keys = len(keys)
+            mine = replies.filter(pc.equal(replies["n"], n))
+            totals = np.concatenate([np.empty(0, np.uint64), *(_unpack(d, unz) for d in mine["totals"].to_pylist())])
+            if len(totals) != keys:
+                raise ValueError("replies don't match the chunk's n-grams")
+            others = from_others(where, totals, document)
+            if n == 1:
+                score = np.where(others > 0, others, backoff) / max(1.0, float(totals[-1]))
+            else:
+                before = np.ones(len(score))
+                before[1:] = context[:-1]
+                seen = others > 0
+                score = np.where(seen, others / np.where(seen, before, 1), np.where(where >= 0, backoff * score, score))
+            context = others
+        each = np.concatenate([[0.0], np.cumsum(np.log(score))])
         ends = np.cumsum(sizes)
         return pa.table([t["id"], pa.array(sizes.astype(np.int64)), pa.array(each[ends] - each[ends - sizes])], names)
 
     return run
 
 
-def stupid_backoff(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3, backoff: float = 0.4, chunk_bytes: int = 24 << 20, part_bytes: int = 12 << 20) -> DataFrame:
+def stupid_backoff(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3, backoff: float = 0.4, chunk_bytes: int = 10 << 20, part_bytes: int = 12 << 20) -> DataFrame:
     """One row per row of ``docs``: id, n_words, log_score, mean_log_score.
 
     Null and empty texts have no words and score 0. Copies of a document count as other
@@ -181,10 +183,10 @@ def stupid_backoff(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     chunks, parts = max(1, math.ceil(size / chunk_bytes)), max(1, math.ceil(size / part_bytes))
     kind = docs.schema[id_col].dataType.simpleString()
     names = ["z", "chunk", "id"]
-    rows = docs.select(F.col(text_col).alias("text"), F.pmod(F.xxhash64(id_col, text_col), F.lit(chunks)).cast("int").alias("chunk"), F.col(id_col).alias("id"))
+    rows = in_batches(docs).select(F.col(text_col).alias("text"), F.pmod(F.xxhash64(id_col, text_col), F.lit(chunks)).cast("int").alias("chunk"), F.col(id_col).alias("id"))
     packed = rows.mapInArrow(compress(names), f"z binary, chunk int, id {kind}")
-    requests = packed.groupBy("chunk").applyInArrow(_requests(order, parts), "chunk int, part int, grams binary, counts binary")
-    replies = requests.groupBy("part").applyInArrow(_count_and_join, "chunk int, part int, totals binary")
+    requests = packed.groupBy("chunk").applyInArrow(_requests(order, parts), "chunk int, n int, part int, grams binary, counts binary")
+    replies = requests.groupBy("part").applyInArrow(_count_and_join, "chunk int, n int, part int, totals binary")
     out = [id_col, "n_words", "log_score"]
-    scored = packed.groupBy("chunk").cogroup(replies.select(F.col("chunk").alias("of"), "part", "totals").groupBy("of")).applyInArrow(_scores(order, backoff, out), f"`{id_col}` {kind}, n_words long, log_score double")
+    scored = packed.groupBy("chunk").cogroup(replies.select(F.col("chunk").alias("of"), "n", "part", "totals").groupBy("of")).applyInArrow(_scores(order, backoff, out), f"`{id_col}` {kind}, n_words long, log_score double")
     return scored.withColumn("mean_log_score", F.col("log_score") / F.greatest(F.col("n_words"), F.lit(1)))
