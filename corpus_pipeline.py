@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quirelight.llm.common import stage
 from quirelight.llm.exact_dedup import exact_dedup
-from quirelight.llm.langid import identify
+from quirelight.llm.langid import fit, held_out, predict
 from quirelight.llm.packing import pack
 from quirelight.llm.simhash import simhash_groups
 from quirelight.llm.suffix_dedup import remove_repeats
@@ -19,10 +19,17 @@ from quirelight.llm.suffix_dedup import remove_repeats
 LEAST_SCORE = 0.5  # of a language
 
 
+def _rest(docs: DataFrame, *but: str) -> DataFrame:
+    """The columns ``but`` and one struct of all others, whose names then clash with nothing."""
+    return docs.select(*but, F.struct(*[c for c in docs.columns if c not in but]).alias("_rest"))
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents go that have no letters or whose language stays open."""
-    found = identify(docs).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
-    return docs.join(found.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    model = fit(docs.where(~held_out()))
+    found = predict(_rest(docs, "doc_id", "text"), model, keep={"_whole": F.col("text"), "_rest": F.col("_rest")})
+    kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    return kept.select("doc_id", F.col("_whole").alias("text"), "_rest.*").select(docs.columns)
 
 
 def one_of_equal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +46,7 @@ def one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that occur elsewhere are cut out of texts; n_chars follows. No row goes."""
-    cut = remove_repeats(docs, keep=[c for c in docs.columns if c not in ("doc_id", "text")])
+    cut = remove_repeats(_rest(docs, "doc_id", "text"), keep=["_rest"]).select("doc_id", "text", "_rest.*")
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 

@@ -14,19 +14,20 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import require
+from .common import in_batches, require
 
 LETTERS = re.compile(r"[^\W\d_]+")
 MOST_GRAM = 5
-_CACHE = 400_000  # words whose scores a task keeps
+_CACHE = 150_000  # unseen words whose scores a task keeps
 
 
 def words_of(text: str) -> list[str]:
@@ -39,46 +40,66 @@ def grams_of(word: str, n: int) -> list[str]:
     return [s[i : i + n] for i in range(len(s) - n + 1)]
 
 
+class Table(Mapping):
+    """key -> log frequency by language; one matrix holds all."""
+
+    def __init__(self, at: dict[str, int], values: np.ndarray):
+        self.at, self.values = at, values
+
+    def __getitem__(self, key: str) -> np.ndarray:
+        return self.values[self.at[key]]
+
+    def __contains__(self, key) -> bool:
+        return key in self.at
+
+    def __iter__(self):
+        return iter(self.at)
+
+    def __len__(self) -> int:
+        return len(self.at)
+
+
 @dataclass
 class Model:
     langs: list[str]
-    words: dict[str, np.ndarray]  # log frequency by language
-    grams: list[dict[str, np.ndarray]]  # by length, from MOST_GRAM down to 1
+    words: Table
+    grams: list[Table]  # by length, from MOST_GRAM down to 1
     prior: np.ndarray
 
     def word(self, word: str) -> np.ndarray | None:
         """The scores of a word, or None if neither it nor a character of it is known."""
-        found = self.words.get(word)
-        if found is not None:
-            return found
+        if word in self.words:
+            return self.words[word]
         for n, table in zip(range(MOST_GRAM, 0, -1), self.grams):
-            known = [table[g] for g in grams_of(word, n) if g in table]
+            at = table.at
+            known = [at[g] for g in grams_of(word, n) if g in at]
             if known:
-                return np.mean(known, 0)
+                return table.values[known].mean(0)
         return None
 
 
-def _rows(cells, langs: list[str], smooth: float) -> dict[str, np.ndarray]:
-    at = {x: i for i, x in enumerate(langs)}
-    counts: dict[str, np.ndarray] = {}
-    for lang, key, n in cells:
-        counts.setdefault(key, np.zeros(len(langs)))[at[lang]] = n
-    if not counts:
-        return {}
-    keys, table = list(counts), np.array(list(counts.values()))
-    table = np.log((table + smooth) / (table.sum(0) + smooth * (len(keys) + 1)))
-    return dict(zip(keys, table))
+def _table(counts: pa.Table, key: str, langs: list[str], smooth: float) -> Table:
+    """counts: lang, key, n."""
+    if not counts.num_rows:
+        return Table({}, np.zeros((0, len(langs))))
+    keys = counts[key].combine_chunks().dictionary_encode()
+    cells = np.zeros((len(keys.dictionary), len(langs)))
+    lang = counts["lang"].combine_chunks().dictionary_encode()
+    column = np.array([langs.index(x) for x in lang.dictionary.to_pylist()])
+    cells[keys.indices.to_numpy(), column[lang.indices.to_numpy()]] = counts["n"].to_numpy()
+    cells = np.log((cells + smooth) / (cells.sum(0) + smooth * (len(cells) + 1)))
+    return Table({k: i for i, k in enumerate(keys.dictionary.to_pylist())}, cells)
 
 
 def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs_per_lang: int = 8000, max_words: int = 50_000, max_grams: int = 20_000, smooth: float = 0.1) -> Model:
     """Fit on rows whose text and language are not null. Of a language with more than
     ``max_docs_per_lang`` rows, a sample by a hash of the id is taken, of that many rows
     in expectation."""
-    train = train.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
+    train = in_batches(train).where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     sizes = {r[lang_col]: r["count"] for r in train.groupBy(lang_col).count().collect()}  # a row a language
     langs = sorted(sizes)
     if not langs:
-        return Model([], {}, [{} for _ in range(MOST_GRAM)], np.zeros(0))
+        return Model([], Table({}, np.zeros((0, 0))), [Table({}, np.zeros((0, 0)))] * MOST_GRAM, np.zeros(0))
     step = 1 << 30
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, int(step * min(1.0, max_docs_per_lang / n)))])
     sample = train.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(5)), F.lit(step)) < F.element_at(share, F.col(lang_col)))
@@ -107,43 +128,52 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     try:
         top = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
         known = words.where("n > 1").withColumn("r", F.row_number().over(top)).where(F.col("r") <= max_words)
-        known = [(r["lang"], r["word"], r["n"]) for r in known.collect()]  # max_words a language at most
+        known = known.select("lang", "word", "n").toArrow()  # max_words a language at most
         top = Window.partitionBy("lang", "k").orderBy(F.desc("n"), "gram")
         grams = words.mapInArrow(spell, "lang string, gram string, k int, n long").groupBy("lang", "gram", "k").agg(F.sum("n").alias("n"))
-        grams = grams.withColumn("r", F.row_number().over(top)).where(F.col("r") <= max_grams).collect()  # max_grams a language and length
+        grams = grams.withColumn("r", F.row_number().over(top)).where(F.col("r") <= max_grams).select("lang", "gram", "k", "n").toArrow()  # max_grams a language and length
     finally:
         words.unpersist()
-    tables = [_rows([(r["lang"], r["gram"], r["n"]) for r in grams if r["k"] == k], langs, smooth) for k in range(MOST_GRAM, 0, -1)]
+    tables = [_table(grams.filter(pc.equal(grams["k"], k)), "gram", langs, smooth) for k in range(MOST_GRAM, 0, -1)]
     total = np.array([sizes[x] for x in langs], float)
-    return Model(langs, _rows(known, langs, smooth), tables, np.log(total / total.sum()))
+    return Model(langs, _table(known, "word", langs, smooth), tables, np.log(total / total.sum()))
 
 
 class Scorer:
-    """Scores texts in one task; keeps the scores of words met."""
+    """Scores texts in one task; keeps the scores of unseen words met, up to _CACHE."""
 
     def __init__(self, model: Model):
-        self.model, self.cache = model, {}
-        self.none = np.zeros(len(model.langs))
+        self.model = model
+        self.met: dict[str, int] = {}
+        self.values = np.concatenate([model.words.values, np.zeros((_CACHE, len(model.langs)))])
+
+    def _unseen(self, word: str) -> int:
+        if len(self.met) >= _CACHE:
+            return -1
+        at = self.met[word] = len(self.model.words) + len(self.met)
+        got = self.model.word(word)
+        self.values[at] = 0 if got is None else got
+        return at
 
     def __call__(self, text: str | None) -> tuple[str, float]:
         m, words = self.model, words_of(text or "")
-        if not words:
-            return "und", 0.0
-        if not m.langs:
+        if not words or not m.langs:
             return "und", 0.0
-        cache, total = self.cache, m.prior.copy()
         counts = Counter(words)
-        rows = []
-        for w in counts:
-            got = cache.get(w)
-            if got is None:
-                got = m.word(w)
-                got = self.none if got is None else got
-                if len(cache) >= _CACHE:
-                    cache.clear()
-                cache[w] = got
-            rows.append(got)
-        total += np.fromiter(counts.values(), float, len(rows)) @ np.array(rows)
+        if len(self.met) + len(counts) > _CACHE:
+            self.met.clear()
+        known, met, at, number, total = m.words.at, self.met, [], [], m.prior.copy()
+        for w, n in counts.items():
+            i = known.get(w)
+            if i is None:
+                i = met.get(w)
+                if i is None and (i := self._unseen(w)) < 0:  # a text with more new words than are kept
+                    got = m.word(w)
+                    total += 0 if got is None else got * n
+                    continue
+            at.append(i)
+            number.append(n)
+        total += np.array(number, float) @ self.values[at]
         p = np.exp(total - total.max())
         best = int(p.argmax())
         return m.langs[best], float(p[best] / p.sum())
@@ -168,7 +198,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             arrays = [x.column(0), *(x.column(i) for i in range(2, x.num_columns)), pa.array([a for a, _ in got], pa.string()), pa.array([b for _, b in got], pa.float64())]
             yield pa.RecordBatch.from_arrays(arrays, names)
 
-    read = docs.select(F.col(id_col), F.col(text_col).alias("_text"), *[e.alias(k) for k, e in keep.items()])
+    read = in_batches(docs).select(F.col(id_col), F.col(text_col).alias("_text"), *[e.alias(k) for k, e in keep.items()])
     kinds = [f"`{n}` {t}" for n, t in read.dtypes if n != "_text"]
     return read.mapInArrow(run, ", ".join([*kinds, "lang_pred string", "score double"]))
 
