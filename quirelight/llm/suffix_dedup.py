@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import require, stage
+from .common import in_batches, require, stage
 from .hashing import Hashes, compress, texts_of
 from .suffix_sort import repeated_starts
 
@@ -169,27 +169,28 @@ def _settle_hot(items: DataFrame, length: int, gram: int, most_reaches: int) ->
         low, high = F.greatest(a - F.col("d2"), F.lit(0)), F.least(a - F.col("d1") + length, size)
         half = half.withColumn("low", low).withColumn("high", high)
         half = half.withColumn("grp", F.xxhash64("grp", "d1", F.substr(F.col("seg"), a - F.col("d1") + 1, F.col("d1") - F.col("d2") + length)))
-        half = stage(half.withColumn("own", F.substr(F.col("seg"), F.col("low") + 1, F.col("high") - F.col("low"))).withColumn("own", F.xxhash64(F.sha2("own", 256), a - F.col("low"))), "halves")
-        owns = half.groupBy("grp", "own").agg(F.sum("n").alias("all"))
+        half = half.withColumn("own", F.substr(F.col("seg"), F.col("low") + 1, F.col("high") - F.col("low")))
+        half = half.withColumn("own", F.xxhash64(F.sha2("own", 256), a - F.col("low"))).withColumn("place", F.struct("k1", "k2", "begin", "anchor"))
+        owns = half.groupBy("grp", "own").agg(F.sum("n").alias("all"), F.min("place").alias("stands"))
         grps = owns.groupBy("grp").agg(F.count("*").alias("owns"), F.sum("all").alias("total")).where("total > 1")
-        half = half.join(owns, ["grp", "own"]).join(grps, "grp")
+        half = stage(half.join(owns, ["grp", "own"]).join(grps, "grp"), "halves")
         done.append(half.where("all > 1 AND n = 1").select("k1", "k2", (F.col("begin") + F.col("low")).alias("b"), (F.col("begin") + F.col("high")).alias("e")))
-        mixed = half.where("owns > 1").dropDuplicates(["grp", "own"])
+        mixed = half.where("owns > 1 AND place = stands")
         few = mixed.where(F.col("owns") <= most_reaches)
         small.append(few.select(F.col("grp").alias("core"), "k1", "k2", (F.col("begin") + F.col("low")).alias("begin"), F.col("all").alias("n"), F.substr(F.col("seg"), F.col("low") + 1, F.col("high") - F.col("low")).alias("seg")))
-        todo = stage(mixed.where((F.col("owns") > most_reaches) & (F.col("d1") < F.col("d2"))).select("k1", "k2", "begin", "anchor", F.col("all").alias("n"), "seg", "grp", "d1", "d2"), "hot")
+        todo = mixed.where((F.col("owns") > most_reaches) & (F.col("d1") < F.col("d2"))).select("k1", "k2", "begin", "anchor", F.col("all").alias("n"), "seg", "grp", "d1", "d2")
         if todo.isEmpty():
             break
     union = lambda parts: parts[0] if len(parts) == 1 else union([parts[0].unionByName(parts[1]), *parts[2:]])
     return union(done), union(small)
 
 
-def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 400, gram: int = 200, block_bytes: int = 1 << 20, most_reaches: int = 2000) -> DataFrame:
+def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 400, gram: int = 300, block_bytes: int = 1 << 18, most_reaches: int = 2000) -> DataFrame:
     """docs: k1, k2 (a key of two longs for a row) and a text. Returns spans (k1, k2, b, e),
     overlapping ones among them, that together cover what repeats."""
     keyed = docs.select("k1", "k2", F.col(text_col).alias("text"))
     found = keyed.mapInArrow(_anchor_rows(length, gram), "k1 long, k2 long, pos int, core long, reach long")
-    again = found.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
+    again = stage(found.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"), "grams")  # written, so that the join may split a hot gram
     hits = stage(found.join(again, "core", "left_semi"), "anchors")
     reaches = stage(hits.groupBy("core", "reach").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "pos")).alias("rep")), "reaches")
     spans = hits.join(reaches.where("n > 1").select("core", "reach"), ["core", "reach"], "left_semi").select(
@@ -254,7 +255,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     require(docs, id_col, text_col, *(keep or []))
     keys = [F.xxhash64(F.col(id_col), F.lit(1)).alias("k1"), F.xxhash64(F.col(text_col), F.col(id_col)).alias("k2")]
     others = [F.col(c).alias(f"c{i}") for i, c in enumerate([id_col, *(keep or [])])]
-    rows = docs.select(F.col(text_col).alias("text"), *keys, *others)
+    rows = in_batches(docs).select(F.col(text_col).alias("text"), *keys, *others)
     spans = repeated_spans(rows.select("k1", "k2", "text"), **options).groupBy("k1", "k2").agg(F.collect_list("b").alias("b"), F.collect_list("e").alias("e"))  # of one text
     names = ["z", *rows.columns[1:]]
     kinds = [f"{n} {t}" for n, t in rows.dtypes[1:]]
