@@ -11,8 +11,9 @@ Unigram models: an arc weighs minus its piece's score; one state is enough.
 BPE models: a state is the last symbol, and an arc exists only where merging could not
 have crossed the seam: two symbols may follow one another if and only if merging their
 joined text gives just these two. Merges inside symbols never look across a seam, so a
-path of such arcs is what merging yields for the whole text, and there is exactly one;
-an arc weighs one. Results equal those of merging by score, the leftmost pair first.
+path of such arcs is what merging yields for the text, and there is exactly one for it
+and for each of its beginnings; all other paths weigh infinity. Results equal those of
+merging by score, the leftmost pair first.
 
 No piece has U+2581 after another character, so words (with the spaces before them) are
 composed one by one, and a task remembers words. Where a model has such pieces, a whole
@@ -37,7 +38,8 @@ from .common import require
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 UNIGRAM, BPE = 1, 2
-_WORDS = 500_000  # words that a task remembers
+_WORDS = 600_000  # words that a worker remembers
+_NONE = ({}, None)
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -97,18 +99,20 @@ class Transducer:
             if t == BYTE:
                 self.bytes[int(p[3:-1], 16)] = i
         self.unknown = next((i for i, (_, _, t) in enumerate(self.pieces) if t == UNKNOWN), 0)
-        self.trie: dict = {}
+        self.trie: dict[str, list] = {}  # character -> [what may come next, the piece that ends here or None]
+        self.follows: dict[tuple[str, str], bool] = {}
         for p in self.ids:
-            node = self.trie
+            if self.kind == BPE and len(p) > 1 and self._merged(p) != [p]:
+                continue  # never comes out of merging
+            kids = self.trie
             for c in p:
-                node = node.setdefault(c, {})
-            node[""] = p
+                node = kids.setdefault(c, [{}, None])
+                kids = node[0]
+            node[1] = p
         apart = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.word = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if apart else r".+", re.S)
         self.penalty = 10.0 - min(self.scores.values(), default=0.0)
         self.out = [self._decoded(p, t) for p, _, t in self.pieces]
-        self.may_follow = lru_cache(1 << 20)(self._may_follow)
-        self.stands = lru_cache(1 << 17)(lambda p: self._merged(p) == [p])
 
     def __reduce__(self):
         raise TypeError("send the model's bytes and compile them where they are used")
@@ -129,53 +133,77 @@ class Transducer:
             i = -best[1]
             symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
 
-    def _may_follow(self, a: str, b: str) -> bool:
+    def may_follow(self, a: str, b: str) -> bool:
         """Whether merging leaves the seam alone: nothing that ends a meets what begins b
         sooner than both are complete."""
         return self._merged(a + b) == [a, b]
 
     def _arcs(self, text: str, at: int) -> list[str]:
         """Symbols that can be read: pieces, and the single character."""
-        found, node = [], self.trie
+        found, kids = [], self.trie
         for c in text[at:]:
-            node = node.get(c)
-            if node is None:
+            if c not in kids:
                 break
-            if "" in node:
-                found.append(node[""])
+            kids, symbol = kids[c]
+            if symbol is not None:
+                found.append(symbol)
         if text[at] not in found:
             found.append(text[at])
         return found
 
     def shortest_path(self, text: str) -> list[str]:
         """The symbols along the path of least weight."""
-        merging = self.kind == BPE
-        states: list[dict] = [{} for _ in range(len(text) + 1)]  # by state: weight, where it came from, symbol
-        states[0][""] = (0.0, None, None)
-        for at in range(len(text)):
-            here = states[at]
-            if not here:
-                continue
-            for symbol in self._arcs(text, at):
-                if merging and len(symbol) > 1 and not self.stands(symbol):
-                    continue
-                weight = 1.0 if merging else -self.scores[symbol] if symbol in self.scores else self.penalty
-                best = None
-                for state, (w, _, _) in here.items():
-                    if (best is None or w < best[0]) and (not merging or not state or self.may_follow(state, symbol)):
-                        best = (w, state)
-                if best is not None:
-                    there, state = states[at + len(symbol)], symbol if merging else ""
-                    if state not in there or best[0] + weight < there[state][0]:
-                        there[state] = (best[0] + weight, (at, best[1]), symbol)
-        at, state = len(text), min(states[-1], key=lambda k: states[-1][k][0])
-        path = []
+        into = self._merging(text) if self.kind == BPE else self._unigram(text)
+        at, path = len(text), []
         while at:
-            _, before, symbol = states[at][state]
-            path.append(symbol)
-            at, state = before
+            path.append(into[at])
+            at -= len(into[at])
         return path[::-1]
 
+    def _unigram(self, text: str) -> list:
+        """The last symbol of the best path to each position."""
+        weight, into = [0.0] + [float("inf")] * len(text), [None] * (len(text) + 1)
+        for at in range(len(text)):
+            for symbol in self._arcs(text, at):
+                w = weight[at] - self.scores[symbol] if symbol in self.scores else weight[at] + self.penalty
+                if w < weight[at + len(symbol)]:
+                    weight[at + len(symbol)], into[at + len(symbol)] = w, symbol
+        return into
+
+    def _merging(self, text: str) -> list:
+        """The same for merges. One path leads to each position, that of the text up to it,
+        so that a position has one state: what is found first is the least."""
+        into: list = [None] * (len(text) + 1)
+        follows, trie, n = self.follows, self.trie, len(text)
+        known = follows.get
+        for at in range(n):
+            state = into[at]
+            if state is None and at:
+                continue
+            kids, end = trie, at
+            while end < n:
+                node = kids.get(text[end])
+                if node is None:
+                    break
+                end += 1
+                kids, symbol = node
+                if symbol is not None and into[end] is None:
+                    if at:
+                        ok = known((state, symbol))
+                        if ok is None:
+                            if len(follows) >= 1 << 20:
+                                follows.clear()
+                            ok = follows[state, symbol] = self.may_follow(state, symbol)
+                        if ok:
+                            into[end] = symbol
+                    else:
+                        into[end] = symbol
+                if not kids:
+                    break
+            if into[at + 1] is None and trie.get(text[at], _NONE)[1] is None and (not at or self.may_follow(state, text[at])):
+                into[at + 1] = text[at]  # a character that is no piece
+        return into
+
     def ids_of(self, word: str) -> list[int]:
         out: list[int] = []
         for s in self.shortest_path(word):
@@ -209,7 +237,7 @@ class _Remembered(dict):
 
     def __missing__(self, word: str) -> bytes:
         got = np.array(self.fst.ids_of(word), np.int32).tobytes()
-        if len(word) <= 64:
+        if len(word) <= 20:  # longer ones seldom come again
             if len(self) >= _WORDS:
                 self.clear()
             self[word] = got
