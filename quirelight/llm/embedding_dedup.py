@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from .common import require, stage
 from .components import connected_components, stars
 
+_EXPANDED = 1_000_000  # edges followed at a time
 NEAR, FAR = 16, 8  # edges of either kind before edges back are added
 
 
@@ -129,8 +130,11 @@ def search(x: np.ndarray, edges: np.ndarray, radius: float, beam: int, medoids:
             if step >= beam:  # all in range at once
                 r, nodes = np.nonzero(fresh[active] >= radius)
                 rows = active[r]
-            fresh[rows, nodes] = -2
             sizes = start[nodes + 1] - start[nodes]
+            if sizes.sum() > _EXPANDED:  # the rest waits for the next steps
+                upto = max(1, int(np.searchsorted(np.cumsum(sizes), _EXPANDED)))
+                rows, nodes, sizes = rows[:upto], nodes[:upto], sizes[:upto]
+            fresh[rows, nodes] = -2
             qs = np.repeat(rows, sizes)
             ns = to[np.repeat(start[nodes], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)]
             unseen = np.flatnonzero(score[qs, ns] == -2)
@@ -168,7 +172,8 @@ def _graph(dims: int, alpha: float):
         t = t.sort_by("rep")
         rep = t["rep"].to_numpy()
         edges = build(_matrix(t["vector"], dims), alpha, t["shard"][0].as_py())
-        return pa.table({"a": rep[edges[:, 0]], "b": rep[edges[:, 1]]})
+        ends = np.searchsorted(edges[:, 0], np.arange(len(rep) + 1)).astype(np.int32)
+        return pa.table({"a": rep, "b": pa.ListArray.from_arrays(pa.array(ends), pa.array(rep[edges[:, 1]]))})
 
     return run
 
@@ -180,7 +185,8 @@ def _links(dims: int, radius: float, beam: int):
         t = t.sort_by("rep")
         rep, n, x = t["rep"].to_numpy(), t["n"].to_numpy(), _matrix(t["vector"], dims)
         shard = t["shard"][0].as_py()
-        edges = np.column_stack([lists["a"].to_numpy(), lists["b"].to_numpy()]).reshape(-1, 2)
+        to = lists["b"].combine_chunks()
+        edges = np.column_stack([np.repeat(lists["a"].to_numpy(), np.diff(to.offsets.to_numpy())), to.flatten().to_numpy()])
         at = np.searchsorted(rep, edges)
         inside = (rep[np.minimum(at, len(rep) - 1)] == edges).all(1)
         pairs = search(x, np.unique(at[inside], axis=0).reshape(-1, 2), radius, beam)
@@ -259,7 +265,8 @@ def near_duplicates(
         while True:
             names = ["rep", "n", "vector", "shards", "shard"]
             dealt = stage(nodes.select("rep", "n", "vector").mapInArrow(_assign(centre, dims, overlap, names), "rep long, n long, vector array<double>, shards array<int>, shard int"), "dealt")
-            edges = stage(dealt.groupBy("shard").applyInArrow(_graph(dims, alpha), "a long, b long").distinct(), "graph")
+            lists = dealt.groupBy("shard").applyInArrow(_graph(dims, alpha), "a long, b array<long>")
+            edges = stage(lists.groupBy("a").agg(F.array_distinct(F.flatten(F.collect_list("b"))).alias("b")), "graph")  # of `overlap` shards
             united = dealt.select(F.col("rep").alias("a"), F.col("shard").alias("of")).join(edges, "a")
             both = dealt.groupBy("shard").cogroup(united.groupBy("of")).applyInArrow(_links(dims, radius, beam), "a long, b long, links long")
             found = stage(both, "links")
