@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from quirelight.llm.common import stage
 from quirelight.llm.exact_dedup import exact_dedup
 from quirelight.llm.langid import fit, held_out, predict
+from quirelight.llm.near_sets import near_groups
 from quirelight.llm.packing import pack
-from quirelight.llm.simhash import simhash_groups
 from quirelight.llm.suffix_dedup import remove_repeats
 
 LEAST_SCORE = 0.5  # of a language
@@ -39,8 +39,9 @@ def one_of_equal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the least doc_id stays."""
-    kept = simhash_groups(docs).where("doc_id = component_id").select("doc_id")
+    """Of each group of near-duplicates the document with the least doc_id stays. Links are
+    pairs whose sets of five-word shingles have a similarity of 0.8 or more, all of them."""
+    kept = near_groups(docs, words=5, similarity=0.8).where("doc_id = component_id").select("doc_id")
     return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
 
 
@@ -61,7 +62,7 @@ STAGES = [
     ("suffix_array_dedup", without_repeats),
     ("best_fit_packing", packed),
 ]
-ORACLE_SQL = None  # language ID, SimHash and best fit are beyond SQL; tests hold each stage against brute force
+ORACLE_SQL = None  # language ID, near-duplicates and best fit are beyond SQL; tests hold each stage against brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
