@@ -23,12 +23,12 @@ def rewrite(references: DataFrame, canon: DataFrame, target: str, key: str, to:
     return references.join(c, references[target] == F.col("_key"), "left").withColumn(target, F.coalesce("_to", target)).drop("_key", "_to")
 
 
-def closure(seeds: DataFrame, edges: DataFrame, keys: list[str] | None = None, most: int = 10_000) -> DataFrame:
+def closure(seeds: DataFrame, edges: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """All that seeds reach: seeds (keys, node), edges (keys, src, dst). Cycles are fine."""
     keys = keys or []
     cols = [*keys, "node"]
     seen = frontier = stage(seeds.select(cols).distinct(), "seen")
-    for _ in range(most):
+    while True:
         step = frontier.join(edges.withColumnRenamed("src", "node"), cols).select(*keys, F.col("dst").alias("node")).distinct()
         frontier = stage(step.join(seen, cols, "left_anti"), "frontier")
         if frontier.isEmpty():
@@ -37,15 +37,16 @@ def closure(seeds: DataFrame, edges: DataFrame, keys: list[str] | None = None, m
     return seen
 
 
-def inherited(nodes: DataFrame, id_col: str, parent: str, value: str, most: int = 100) -> DataFrame:
-    """Adds ``inherited``: a node's value or its nearest ancestor's that has one."""
+def inherited(nodes: DataFrame, id_col: str, parent: str, value: str) -> DataFrame:
+    """Adds ``inherited``: a node's value or its nearest ancestor's that has one. Each round
+    doubles the ancestors looked at; what is open once they could be all nodes is on a cycle."""
     own = nodes.select(F.col(id_col).alias("_id"), F.col(parent).alias("_up"), F.col(value).alias("_value"))
     state = stage(own.withColumnRenamed("_id", id_col), "inherited")
-    for _ in range(most):
+    for _ in range(state.count().bit_length()):
         todo = state.where("_value IS NULL AND _up IS NOT NULL")
         if todo.isEmpty():
             break
-        up = own.select(F.col("_id").alias("_k"), F.col("_up").alias("_up2"), F.col("_value").alias("_value2"))
+        up = state.select(F.col(id_col).alias("_k"), F.col("_up").alias("_up2"), F.col("_value").alias("_value2"))
         stepped = state.join(up, (state["_up"] == up["_k"]) & state["_value"].isNull(), "left")
         moved = F.col("_value").isNull() & F.col("_up").isNotNull()
         state = stage(stepped.select(id_col, F.when(moved, F.col("_up2")).otherwise(F.col("_up")).alias("_up"), F.coalesce("_value", "_value2").alias("_value")), "inherited")
