@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..staging import delete, shared_dir, stage
+from ..staging import delete, release, shared_dir, stage
 
-__all__ = ["LOWER", "UPPER", "delete", "in_batches", "lower_ascii", "require", "shared_dir", "stage", "table", "text_or_empty"]
+__all__ = ["LOWER", "UPPER", "delete", "lower_ascii", "release", "require", "shared_dir", "slices", "stage", "table", "text_or_empty", "unless_large"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -25,14 +28,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def in_batches(df: DataFrame, rows: int = 500) -> DataFrame:
-    """For what reads texts in Python: Arrow batches of at most so many rows, as texts may
-    be long and batches are held whole on both sides. Lowers the session's setting only."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(df.sparkSession.conf.get(key))
-    if now <= 0 or now > rows:
-        df.sparkSession.conf.set(key, str(rows))
-    return df
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Arrow batches a few rows at a time: texts may be long, and as Python objects they take
+    more room than in Arrow. Batches without rows are left out."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
+def unless_large(keys: DataFrame, rows: int = 1 << 19) -> DataFrame:
+    """A written table of a few numbers a row, to be broadcast if it has at most so many rows
+    (some 20 MB). Beyond that the join is left to the planner, which shuffles both sides."""
+    return F.broadcast(keys) if keys.count() <= rows else keys
 
 
 def require(df: DataFrame, *names: str) -> None:

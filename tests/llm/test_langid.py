@@ -3,8 +3,9 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
-from quirelight.llm.langid import MOST_GRAM, fit, grams_of, identify, predict, words_of
+from quirelight.llm.langid import MOST_GRAM, Scorer, fit, grams_of, held_out, identify, predict
 
 EN = "the house and the garden of a king were old and the water was cold"
 FR = "la maison et le jardin du roi étaient vieux et l'eau était froide"
@@ -34,23 +35,57 @@ def test_identify(spark, docs):
     assert np.mean([(i, lang) in by for i, _, lang, _ in rows()[:80]]) > 0.95
 
 
-def test_backoff_equals_plain_sums(spark, docs):
-    model = fit(docs)
-    counts = defaultdict(Counter)
-    for _, t, lang, _ in rows():
-        if t is not None and lang is not None:
-            counts[lang].update(words_of(t))
-    known = sorted({w for c in counts.values() for w, n in c.items() if n > 1})
-    assert sorted(model.words) == known
-    size = {x: sum(n for n in counts[x].values() if n > 1) for x in model.langs}
-    for w in known:
-        own = [n if (n := counts[x][w]) > 1 else 0 for x in model.langs]
-        assert np.allclose(model.words[w], [np.log((n + 0.1) / (size[x] + 0.1 * (len(known) + 1))) for n, x in zip(own, model.langs)])
-    unseen = "gardens"
-    level = next(n for n in range(MOST_GRAM, 0, -1) if any(g in model.grams[MOST_GRAM - n] for g in grams_of(unseen, n)))
-    table = model.grams[MOST_GRAM - level]
-    assert level == MOST_GRAM and np.allclose(model.word(unseen), np.mean([table[g] for g in grams_of(unseen, level) if g in table], 0))
-    assert model.word("ξ") is None
+def plain(train):
+    """A scorer that sums over words as the docstring says, in dictionaries."""
+    words, grams, docs = defaultdict(Counter), defaultdict(Counter), Counter()
+    for t, lang in train:
+        docs[lang] += 1
+        for w in regex.findall(r"\p{L}+", t.lower()):
+            words[lang][w] += 1
+            for n in range(1, MOST_GRAM + 1):
+                grams[lang, n].update(grams_of(w, n))
+    langs = sorted(docs)
+    size = lambda of: len({k for x in langs for k in of(x)})
+
+    def value(of, key):
+        keys = size(of)
+        return np.array([np.log((of(x)[key] + 0.1) / (sum(of(x).values()) + 0.1 * keys + 0.1)) for x in langs])
+
+    def word(w):
+        if any(w in words[x] for x in langs):
+            return value(words.__getitem__, w)
+        for n in range(MOST_GRAM, 0, -1):
+            if found := [g for g in grams_of(w, n) if any(g in grams[x, n] for x in langs)]:
+                return np.mean([value(lambda x: grams[x, n], g) for g in found], 0)  # noqa: B023
+        return np.zeros(len(langs))
+
+    def score(text):
+        found = regex.findall(r"\p{L}+", (text or "").lower())
+        if not found:
+            return "und", 0.0
+        total = np.log([docs[x] / sum(docs.values()) for x in langs]) + sum(map(word, found))
+        p = np.exp((total - total.max()) / len(found))
+        return langs[total.argmax()], p.max() / p.sum()
+
+    return score
+
+
+def test_equals_plain_sums(spark, docs):
+    train = [(t, lang) for i, t, lang, _ in rows() if t is not None and lang is not None and zlib.crc32(str(i).encode()) % 5]
+    want, got = plain(train), Scorer(fit(docs.where(~held_out())))
+    texts = [t for _, t, _, _ in rows()] + ["gardens", "maisonnette the", "ξ", "x² ½ the", "½ ²", "②", "Ⅷ", "naïve", "ΣΑΣ", "the½king"]
+    for t, (lang, score) in zip(texts, got(texts)):
+        w = want(t)
+        assert lang == w[0] and abs(score - w[1]) < 1e-5, t
+    assert [x for x, _ in got(["½ ²", "②", "٣"])] == ["und"] * 3
+
+
+def test_every_word_of_the_sample_is_learned(spark):
+    once = [(i, f"word{chr(97 + i % 26)}{chr(97 + i // 26)}", "en") for i in range(600)]
+    model = fit(spark.createDataFrame(once, "doc_id long, text string, lang string"))
+    assert len(model.words.keys) == 600
+    bounded = fit(spark.createDataFrame(once, "doc_id long, text string, lang string"), max_docs_per_lang=100)
+    assert 50 < len(bounded.words.keys) < 160
 
 
 def test_nothing_learned(spark, docs):
