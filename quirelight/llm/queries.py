@@ -34,7 +34,7 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import remove_repeats
 
-    return remove_repeats(table(spark, sf_dir, "documents"))
+    return remove_repeats(table(spark, sf_dir, "documents"), keep=[], passage=250, least_words=50)
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str, model: str = TOKENIZER) -> DataFrame:

@@ -1,25 +1,28 @@
 """Removing byte strings that start in two places or more, by suffix arrays.
 
 What repeats is judged over all documents: every string of ``length`` bytes (400) that
-starts anywhere else, in the same document too, is removed wherever it covers bytes.
+starts anywhere else, in the same document too, is removed wherever it covers bytes. With
+``passage`` (bytes, fewer than ``length``) shorter passages are found in the same run.
 
-1. Anchors. Each string of ``length`` bytes has one or more anchors: the ``gram``-byte
+1. Anchors. Each string of ``passage`` bytes has one or more anchors: the ``gram``-byte
    grams with the least hash in it (all of them on ties). Which these are depends on the
-   string only, so equal strings have equal anchors. An anchor's reach is all that strings
-   with that anchor can cover. Grams that occur once in the corpus cannot be in a repeat.
+   string only, so equal strings have equal anchors. An anchor is wide if a string of
+   ``length`` bytes has it too. An anchor's reach is all that strings with that anchor can
+   cover. Grams that occur once in the corpus cannot be in a repeat.
 2. Copies. Anchors with equal grams and equal reach (two independent 64-bit hashes, so
    128 bits) are merged before anything is gathered: of several copies, every string
    within reach repeats, and one copy stands for all from here on.
 3. Suffix arrays. Where a gram has several different reaches, these are brought together
    by gram and their strings are suffix-sorted in two stages (suffix_sort.py); common
-   prefixes of neighbours tell which of them repeat. A task sorts blocks of about
-   ``block_bytes`` made of whole grams.
+   prefixes of neighbours tell which of them repeat, and over how many bytes. A task sorts
+   blocks of about ``block_bytes`` made of whole grams.
 4. Very common grams (over ``most_reaches`` different reaches) are split before that:
    the range of strings is halved, each half is grouped by the bytes that all its strings
    share, and so on. What is then unique, or a copy, is settled; small groups go to the
    suffix arrays. At one string a half is the string itself, so this ends, and is exact.
 
-Texts travel compressed, twice: to cut the reaches out, and to remove the spans.
+Texts are written once, compressed, with a number for each row, and are read from there:
+by the anchors, to cut the reaches out, and to remove the spans.
 """
 
 from __future__ import annotations
@@ -33,11 +36,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_batches, require, stage
-from .hashing import Hashes, compress, texts_of
+from .common import require, slices, stage
+from .hashing import Hashes, compress
 from .suffix_sort import repeated_starts
 
-_BLOCK = 1 << 21  # bytes of a text that anchors are searched in at a time
+_BLOCK = 1 << 17  # bytes that anchors are searched in at a time
 
 
 def _slide(x: np.ndarray, width: int, op) -> np.ndarray:
@@ -51,217 +54,304 @@ def _slide(x: np.ndarray, width: int, op) -> np.ndarray:
     return op(back[: n - width + 1], onward[width - 1 : n])
 
 
-def anchors(text: bytes, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(positions, hash of the gram, hash of the reach) of a text's anchors."""
-    n, room = len(text), length - gram
+def _least_of_some(h: np.ndarray, room: int, valid: np.ndarray) -> np.ndarray:
+    """Whether a gram has the least hash in one of the valid strings, whose grams are ``room`` + 1."""
+    least = np.zeros(len(h) + room, np.uint64)
+    if len(valid):
+        least[room : room + len(valid)] = np.where(valid, _slide(h, room + 1, np.minimum), 0)
+    return _slide(least, room + 1, np.maximum) == h
+
+
+def _pieces(texts: list[bytes], length: int) -> Iterator[list[tuple[int, int, int, int, int]]]:
+    """Lists of pieces (text, begin, end, first gram to report, end of these) of about _BLOCK
+    bytes each: short texts together, long ones cut, with ``length`` bytes more on either side."""
+    held, size = [], 0
+    for d, t in enumerate(texts):
+        for at in range(0, len(t), _BLOCK):
+            low, high = max(0, at - length), min(len(t), at + _BLOCK + length)
+            if held and size + high - low > _BLOCK:
+                yield held
+                held, size = [], 0
+            held.append((d, low, high, at, min(len(t), at + _BLOCK)))
+            size += high - low
+    if held:
+        yield held
+
+
+def anchors(texts: list[bytes], length: int, passage: int, gram: int, reaches: bool = True) -> tuple[np.ndarray, ...]:
+    """(text, position, hash of the gram[, hash of the reach, begin, end, whether it is wide]) of
+    all anchors. Without ``reaches`` the first three."""
     out = []
-    for at in range(0, n if n >= length else 0, _BLOCK):
-        low, high = max(0, at - length), min(n, at + _BLOCK + length)
-        if high - low < length:
-            low = high - length
-        x = np.frombuffer(text, np.uint8, high - low, low)
-        count = len(x) - gram + 1
-        start = np.arange(count)
-        h = Hashes(x, 0)(start, start + gram)
-        least = np.zeros(count + room, np.uint64)
-        least[room:count] = _slide(h, room + 1, np.minimum)
-        pos = np.flatnonzero(_slide(least, room + 1, np.maximum) == h)
-        pos = pos[(pos + low >= at) & (pos + low < at + _BLOCK)]
-        a, b = np.maximum(pos - room, 0), np.minimum(pos + length, len(x))
-        reach = Hashes(x, 1)(a, b) + (pos - a).astype(np.uint64)
-        out.append((pos + low, h[pos].view(np.int64), reach.view(np.int64)))
-    return tuple(map(np.concatenate, zip(*out))) if out else (np.empty(0, np.int64),) * 3
-
-
-def _anchor_rows(length: int, gram: int):
+    texts = [t if len(t) >= passage else b"" for t in texts]
+    for pieces in _pieces(texts, length):
+        x = np.frombuffer(b"".join(texts[d][a:b] for d, a, b, _, _ in pieces), np.uint8)
+        if len(x) < passage:
+            continue
+        text, low, high, first, last = np.array(pieces).T
+        base = np.cumsum(high - low) - (high - low)
+        piece = np.repeat(np.arange(len(pieces)), high - low)
+        end = (base + high - low)[piece]  # of the piece, for each byte
+        start = np.arange(len(x) - gram + 1)
+        inside = start + gram <= end[start]
+        h = np.where(inside, Hashes(x, 0)(start, start + gram), ~np.uint64(0))
+        windows = np.arange(len(x) - passage + 1)
+        is_anchor = _least_of_some(h, passage - gram, windows + passage <= end[windows]) & inside
+        pos = np.flatnonzero(is_anchor)
+        of = piece[pos]
+        own = pos - base[of] + low[of]
+        mine = (own >= first[of]) & (own < last[of])
+        pos, of, own = pos[mine], of[mine], own[mine]
+        found = [text[of], own, h[pos].view(np.int64)]
+        if reaches:
+            wide = np.zeros(len(pos), bool)
+            if length > passage and len(x) >= length:
+                windows = windows[: len(x) - length + 1]
+                wide = _least_of_some(h, length - gram, windows + length <= end[windows])[pos]
+            elif length == passage:
+                wide[:] = True
+            far = np.where(wide, length, passage)
+            a, b = np.maximum(pos - (far - gram), base[of]), np.minimum(pos + far, end[pos])
+            reach = Hashes(x, 1)(a, b) + (pos - a).astype(np.uint64)
+            found += [reach.view(np.int64), own - (pos - a), own + (b - pos), wide]
+        out.append(found)
+    if not out:
+        return tuple(np.empty(0, bool if i == 6 else np.int64) for i in range(7 if reaches else 3))
+    return tuple(map(np.concatenate, zip(*out)))
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    z = zstandard.ZstdDecompressor()
+    for x in slices(batches, rows):
+        yield x, [z.decompress(t) for t in x.column(0).to_pylist()]
+
+
+def _gram_rows(length: int, passage: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            k1, k2, texts = x.column(0).to_numpy(), x.column(1).to_numpy(), texts_of(x.column(2))
-            for at in range(0, len(texts), 256):
-                got = [anchors(t, length, gram) for t in texts[at : at + 256]]
-                each = [len(g[0]) for g in got]
-                pos, core, reach = map(np.concatenate, zip(*got))
-                arrays = [np.repeat(k1[at : at + 256], each), np.repeat(k2[at : at + 256], each), pos.astype(np.int32), core, reach]
-                yield pa.RecordBatch.from_arrays(list(map(pa.array, arrays)), ["k1", "k2", "pos", "core", "reach"])
+        for _, texts in _unpacked(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(anchors(texts, length, passage, gram, False)[2])], ["core"])
 
     return run
 
 
-def _cut(length: int, gram: int):
-    """(z, wanted) -> segments: the reach of every wanted anchor."""
+def _anchor_rows(length: int, passage: int, gram: int):
+    names = ["row", "pos", "core", "reach", "b", "e", "wide"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z, names = zstandard.ZstdDecompressor(), ["core", "hot", "k1", "k2", "begin", "anchor", "n", "seg"]
-        for x in batches:
-            rows = []
-            for packed, k1, k2, wanted in zip(*(x.column(i).to_pylist() for i in range(4))):
-                text = z.decompress(packed)
-                for w in wanted:
-                    a, b = max(0, w["pos"] - (length - gram)), min(len(text), w["pos"] + length)
-                    rows.append((w["core"], w["hot"], k1, k2, a, w["pos"] - a, w["n"], text[a:b]))
-                if len(rows) > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _SEG)], names)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _SEG)], names)
+        for x, texts in _unpacked(batches):
+            text, pos, core, reach, b, e, wide = anchors(texts, length, passage, gram)
+            small = [v.astype(np.int32) for v in (pos, b, e)]
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (x.column(1).to_numpy()[text], small[0], core, reach, small[1], small[2], wide)], names)
 
     return run
 
 
-_SEG = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
-
+_SEG = {"core": pa.int64(), "hot": pa.bool_(), "row": pa.int64(), "b": pa.int32(), "anchor": pa.int32(), "wide": pa.bool_(), "n": pa.int64(), "seg": pa.binary()}
 
-def _sorted_blocks(length: int, block_bytes: int):
-    """Segments in order of ``core`` -> spans (k1, k2, b, e) of those that have one copy."""
 
-    def spans(rows: pa.Table) -> pa.RecordBatch:
-        k1, k2 = rows["k1"].to_numpy(), rows["k2"].to_numpy()
-        begin, copies = rows["begin"].to_numpy().astype(np.int64), rows["n"].to_numpy()
-        keys = np.column_stack([k1, k2])
-        document = np.unique(keys, axis=0, return_inverse=True)[1].ravel()
-        segment, offset = repeated_starts(rows["seg"].to_pylist(), document, begin, copies, length)
-        one = copies[segment] == 1
-        segment, offset = segment[one], offset[one]
-        order = np.lexsort((offset, segment))
-        segment, offset = segment[order], offset[order]
-        new = np.ones(len(segment), bool)
-        new[1:] = (segment[1:] != segment[:-1]) | (offset[1:] != offset[:-1] + 1)
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(segment)) - 1 if len(first) else first
-        s = segment[first]
-        arrays = [k1[s], k2[s], (begin[s] + offset[first]).astype(np.int32), (begin[s] + offset[last] + length).astype(np.int32)]
-        return pa.RecordBatch.from_arrays(list(map(pa.array, arrays)), ["k1", "k2", "b", "e"])
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(z, row, wanted) -> segments: the reach of every wanted anchor."""
+    made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _SEG.values())], list(_SEG))
+    rows = []
+    for x, texts in _unpacked(batches, 64):
+        for text, row, wanted in zip(texts, x.column(1).to_pylist(), x.column(2).to_pylist()):
+            for w in wanted:
+                rows.append((w["core"], w["hot"], row, w["b"], w["pos"] - w["b"], w["wide"], w["n"], text[w["b"] : w["e"]]))
+                if len(rows) >= 5000:
+                    yield made(rows)
+                    rows = []
+    if rows:
+        yield made(rows)
+
+
+def _sorted_blocks(length: int, passage: int, block_bytes: int):
+    """Segments in order of ``core`` -> spans (row, b, e, wide) of those that have one copy."""
+
+    def spans(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        row, begin, copies = rows["row"].to_numpy(), rows["b"].to_numpy().astype(np.int64), rows["n"].to_numpy()
+        document = np.unique(row, return_inverse=True)[1].ravel()
+        found = repeated_starts(rows["seg"].to_pylist(), document, begin, copies, sorted({passage, length}))
+        for size, (segment, offset) in found.items():
+            one = copies[segment] == 1
+            segment, offset = segment[one], offset[one]
+            order = np.lexsort((offset, segment))
+            segment, offset = segment[order], offset[order]
+            new = np.ones(len(segment), bool)
+            new[1:] = (segment[1:] != segment[:-1]) | (offset[1:] != offset[:-1] + 1)
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], len(segment)) - 1 if len(first) else first
+            s = segment[first]
+            arrays = [row[s], (begin[s] + offset[first]).astype(np.int32), (begin[s] + offset[last] + size).astype(np.int32), np.full(len(s), size == length)]
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, arrays)), ["row", "b", "e", "wide"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        for x in batches:
+        for x in slices(batches, 1 << 13):
             at = 0
             while at < x.num_rows:  # slices that end with a gram, of about block_bytes
                 core = x.column(0).to_numpy()
                 upto = min(x.num_rows, at + max(1, block_bytes // 600))
                 stop = int(np.searchsorted(core, core[upto - 1], "right"))
                 if held and core[at] != held[-1].column(0)[-1].as_py() and sum(h.nbytes for h in held) >= block_bytes:
-                    yield spans(pa.Table.from_batches(held))
+                    yield from spans(pa.Table.from_batches(held))
                     held = []
                 held.append(x.slice(at, stop - at))
                 at = stop
         if held:
-            yield spans(pa.Table.from_batches(held))
+            yield from spans(pa.Table.from_batches(held))
 
     return run
 
 
-def _settle_hot(items: DataFrame, length: int, gram: int, most_reaches: int) -> tuple[DataFrame, DataFrame]:
-    """items: segments of very common grams. Returns (spans, segments for suffix arrays).
+def _settle_hot(items: DataFrame, size: int, gram: int, most_reaches: int, wide: bool) -> tuple[DataFrame, DataFrame]:
+    """items: segments of very common grams. Returns (spans, segments for suffix arrays), of
+    strings of ``size`` bytes.
 
     A string starts d bytes before its anchor, d from d1 to d2. All strings of the range
-    share the bytes [anchor - d1, anchor - d2 + length); together they cover
-    [anchor - d2, anchor - d1 + length), as far as the segment goes."""
+    share the bytes [anchor - d1, anchor - d2 + size); together they cover
+    [anchor - d2, anchor - d1 + size), as far as the segment goes."""
     done, small = [], []
-    todo = items.select("k1", "k2", "begin", "anchor", "n", "seg", F.col("core").alias("grp"), F.lit(0).alias("d1"), F.lit(length - gram).alias("d2"))
-    a, size = F.col("anchor"), F.octet_length("seg")
-    for _ in range(64):
+    todo = items.select("row", "b", "anchor", "n", "seg", F.col("core").alias("grp"), F.lit(0).alias("d1"), F.lit(size - gram).alias("d2"))
+    a, end = F.col("anchor"), F.octet_length("seg")
+    while True:  # ranges halve, so this ends
         middle = F.expr("cast((d1 + d2) div 2 as int)")
         halves = F.when(F.col("d1") < F.col("d2"), F.array(F.struct(F.col("d1").alias("d1"), middle.alias("d2")), F.struct((middle + 1).alias("d1"), F.col("d2").alias("d2")))).otherwise(F.array(F.struct("d1", "d2")))
-        half = todo.withColumn("h", F.explode(halves)).select("k1", "k2", "begin", "anchor", "n", "seg", "grp", "h.d1", "h.d2")
+        half = todo.withColumn("h", F.explode(halves)).select("row", "b", "anchor", "n", "seg", "grp", "h.d1", "h.d2")
         # ranges without a whole string in the segment go
-        half = half.where((F.col("d1") <= a) & (a - F.col("d2") + length <= size))
-        low, high = F.greatest(a - F.col("d2"), F.lit(0)), F.least(a - F.col("d1") + length, size)
+        half = half.where((F.col("d1") <= a) & (a - F.col("d2") + size <= end))
+        low, high = F.greatest(a - F.col("d2"), F.lit(0)), F.least(a - F.col("d1") + size, end)
         half = half.withColumn("low", low).withColumn("high", high)
-        half = half.withColumn("grp", F.xxhash64("grp", "d1", F.substr(F.col("seg"), a - F.col("d1") + 1, F.col("d1") - F.col("d2") + length)))
+        half = half.withColumn("grp", F.xxhash64("grp", "d1", F.substr(F.col("seg"), a - F.col("d1") + 1, F.col("d1") - F.col("d2") + size)))
         half = half.withColumn("own", F.substr(F.col("seg"), F.col("low") + 1, F.col("high") - F.col("low")))
-        half = half.withColumn("own", F.xxhash64(F.sha2("own", 256), a - F.col("low"))).withColumn("place", F.struct("k1", "k2", "begin", "anchor"))
+        half = half.withColumn("own", F.xxhash64(F.sha2("own", 256), a - F.col("low"))).withColumn("place", F.struct("row", "b", "anchor"))
         owns = half.groupBy("grp", "own").agg(F.sum("n").alias("all"), F.min("place").alias("stands"))
         grps = owns.groupBy("grp").agg(F.count("*").alias("owns"), F.sum("all").alias("total")).where("total > 1")
         half = stage(half.join(owns, ["grp", "own"]).join(grps, "grp"), "halves")
-        done.append(half.where("all > 1 AND n = 1").select("k1", "k2", (F.col("begin") + F.col("low")).alias("b"), (F.col("begin") + F.col("high")).alias("e")))
+        done.append(half.where("all > 1 AND n = 1").select("row", (F.col("b") + F.col("low")).alias("b"), (F.col("b") + F.col("high")).alias("e"), F.lit(wide).alias("wide")))
         mixed = half.where("owns > 1 AND place = stands")
         few = mixed.where(F.col("owns") <= most_reaches)
-        small.append(few.select(F.col("grp").alias("core"), "k1", "k2", (F.col("begin") + F.col("low")).alias("begin"), F.col("all").alias("n"), F.substr(F.col("seg"), F.col("low") + 1, F.col("high") - F.col("low")).alias("seg")))
-        todo = mixed.where((F.col("owns") > most_reaches) & (F.col("d1") < F.col("d2"))).select("k1", "k2", "begin", "anchor", F.col("all").alias("n"), "seg", "grp", "d1", "d2")
+        small.append(few.select(F.col("grp").alias("core"), "row", (F.col("b") + F.col("low")).alias("b"), F.col("all").alias("n"), F.substr(F.col("seg"), F.col("low") + 1, F.col("high") - F.col("low")).alias("seg")))
+        todo = mixed.where((F.col("owns") > most_reaches) & (F.col("d1") < F.col("d2"))).select("row", "b", "anchor", F.col("all").alias("n"), "seg", "grp", "d1", "d2")
         if todo.isEmpty():
             break
-    union = lambda parts: parts[0] if len(parts) == 1 else union([parts[0].unionByName(parts[1]), *parts[2:]])
-    return union(done), union(small)
-
-
-def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 400, gram: int = 300, block_bytes: int = 1 << 18, most_reaches: int = 2000) -> DataFrame:
-    """docs: k1, k2 (a key of two longs for a row) and a text. Returns spans (k1, k2, b, e),
-    overlapping ones among them, that together cover what repeats."""
-    keyed = docs.select("k1", "k2", F.col(text_col).alias("text"))
-    found = keyed.mapInArrow(_anchor_rows(length, gram), "k1 long, k2 long, pos int, core long, reach long")
-    again = stage(found.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"), "grams")  # written, so that the join may split a hot gram
-    hits = stage(found.join(again, "core", "left_semi"), "anchors")
-    reaches = stage(hits.groupBy("core", "reach").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "pos")).alias("rep")), "reaches")
-    spans = hits.join(reaches.where("n > 1").select("core", "reach"), ["core", "reach"], "left_semi").select(
-        "k1", "k2", F.greatest(F.col("pos") - (length - gram), F.lit(0)).alias("b"), (F.col("pos") + length).alias("e")
-    )
+    return _union(done), _union(small)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return parts[0] if len(parts) == 1 else _union([parts[0].unionByName(parts[1]), *parts[2:]])
+
+
+def repeated_spans(packed: DataFrame, length: int = 400, passage: int | None = None, gram: int | None = None, block_bytes: int = 1 << 18, most_reaches: int = 2000) -> DataFrame:
+    """packed: (z, row): compressed texts, and a number for each row. Returns spans (row, b, e,
+    wide), overlapping ones among them. All together cover what repeats over ``passage`` bytes
+    (by default ``length``), those that are wide what repeats over ``length``."""
+    passage = passage or length
+    gram = gram or max(1, passage * 3 // 4 if passage == length else passage * 3 // 5)
+    if not 0 < gram < passage <= length:
+        raise ValueError("0 < gram < passage <= length is asked for")
+    texts = packed.select("z", "row")
+    grams = texts.mapInArrow(_gram_rows(length, passage, gram), "core long")
+    again = stage(grams.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"), "grams")  # written, so that the join may split a hot gram
+    found = texts.mapInArrow(_anchor_rows(length, passage, gram), "row long, pos int, core long, reach long, b int, e int, wide boolean")
+    hits = stage(found.join(again, "core", "left_semi"), "anchors", [again])
+    reaches = stage(hits.groupBy("core", "reach", "wide").agg(F.count("*").alias("n"), F.min(F.struct("row", "pos", "b", "e")).alias("rep")), "reaches")
+    copies = reaches.where("n > 1").select("core", "reach", "wide")
+    spans = hits.join(copies, ["core", "reach", "wide"], "left_semi").where(F.col("e") - F.col("b") >= passage)
+    spans = spans.select("row", "b", "e", (F.col("wide") & (F.col("e") - F.col("b") >= length)).alias("wide"))
     mixed = reaches.groupBy("core").agg(F.count("*").alias("reaches")).where("reaches > 1")
-    wanted = reaches.join(mixed, "core").select("rep.k1", "rep.k2", F.struct("core", (F.col("reaches") > most_reaches).alias("hot"), "rep.pos", "n").alias("w"))
-    wanted = wanted.groupBy("k1", "k2").agg(F.collect_list("w").alias("wanted"))  # of one text
-    packed = keyed.select("text", "k1", "k2").mapInArrow(compress(["z", "k1", "k2"]), "z binary, k1 long, k2 long")
-    joined = packed.join(wanted.hint("shuffle_hash"), ["k1", "k2"]).select("z", "k1", "k2", "wanted")
-    segments = stage(joined.mapInArrow(_cut(length, gram), "core long, hot boolean, k1 long, k2 long, begin int, anchor int, n long, seg binary"), "segments")
-    small = segments.where("NOT hot").select("core", "k1", "k2", "begin", "n", "seg")
+    wanted = reaches.join(mixed, "core").select("rep.row", F.struct("core", (F.col("reaches") > most_reaches).alias("hot"), "rep.pos", "rep.b", "rep.e", "wide", "n").alias("w"))
+    wanted = wanted.groupBy("row").agg(F.collect_list("w").alias("wanted"))  # of one text
+    joined = texts.join(wanted.hint("shuffle_hash"), "row").select("z", "row", "wanted")
+    segments = stage(joined.mapInArrow(_cut, "core long, hot boolean, row long, b int, anchor int, wide boolean, n long, seg binary"), "segments")
+    small = segments.where("NOT hot").select("core", "row", "b", "n", "seg")
     hot = segments.where("hot")
     if not hot.isEmpty():
-        more, few = _settle_hot(hot, length, gram, most_reaches)
-        spans, small = spans.unionByName(more), small.unionByName(few)
-    by_array = small.repartition("core").sortWithinPartitions("core").mapInArrow(_sorted_blocks(length, block_bytes), "k1 long, k2 long, b int, e int")
+        for size, items in {passage: hot, length: hot.where("wide")}.items():  # one if they are equal
+            more, few = _settle_hot(items, size, gram, most_reaches, size == length)
+            spans, small = spans.unionByName(more), small.unionByName(few)
+    by_array = small.repartition("core").sortWithinPartitions("core").mapInArrow(_sorted_blocks(length, passage, block_bytes), "row long, b int, e int, wide boolean")
     return spans.unionByName(by_array)
 
 
-def _removed(names: list[str], give_text: bool):
-    """(z, spans, id and others) -> the counts, the digest of what is left, and the text if asked for."""
+def _runs(b: list[int] | None, e: list[int] | None, chosen, size: int) -> list[tuple[int, int]]:
+    """Maximal runs of the chosen spans."""
+    runs: list[list[int]] = []
+    for low, high in sorted((x, min(y, size)) for x, y, w in zip(b or (), e or (), chosen or ()) if w):
+        if runs and low <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], high)
+        else:
+            runs.append([low, high])
+    return [(low, high) for low, high in runs]
+
+
+def _without(text: bytes, runs: list[tuple[int, int]]) -> bytes:
+    if not runs:
+        return text
+    left, at = [], 0
+    for low, high in runs:
+        left.append(text[at:low])
+        at = high
+    return b"".join([*left, text[at:]])
+
+
+def _removed(names: list[str], texts: bool, passages: bool, least_words: int):
+    """(z, spans, others) -> the counts, the digest of what is left, and what else is asked for."""
+    run_type = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
+    as_runs = lambda each: pa.array([[{"begin": a, "end": b} for a, b in r] for r in each], run_type)
+    decoded = lambda data: data.decode("utf-8", "ignore")  # noqa: E731  halves of characters at a cut go
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = zstandard.ZstdDecompressor()
-        for x in batches:
-            counts, digests, texts = [], [], []
-            starts, ends = x.column(1), x.column(2)
-            for packed, b, e in zip(x.column(0).to_pylist(), starts.to_pylist(), ends.to_pylist()):
-                text = z.decompress(packed)
-                runs: list[list[int]] = []
-                for low, high in sorted(zip(b, e)) if b else ():
-                    high = min(high, len(text))
-                    if runs and low <= runs[-1][1]:
-                        runs[-1][1] = max(runs[-1][1], high)
-                    else:
-                        runs.append([low, high])
-                left, at = [], 0
-                for low, high in runs:
-                    left.append(text[at:low])
-                    at = high
-                left = b"".join([*left, text[at:]]) if runs else text
+        for x, whole in _unpacked(batches, 128):
+            counts, digests, kept, gone, short, rest = [], [], [], [], [], []
+            for text, b, e, wide in zip(whole, *(x.column(i).to_pylist() for i in (1, 2, 3))):
+                runs = _runs(b, e, wide, len(text))
+                if not passages and least_words:
+                    runs = [r for r in runs if len(text[slice(*r)].split()) >= least_words]
+                left = _without(text, runs)
                 counts.append((len(text), len(text) - len(left), len(runs)))
                 digests.append(hashlib.sha256(left).hexdigest())
-                if give_text:
-                    texts.append(left.decode("utf-8", "ignore"))  # halves of characters at a cut go
-            arrays = [*x.columns[3:], *(pa.array([c[i] for c in counts], pa.int64()) for i in range(3)), pa.array(digests, pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays + [pa.array(texts, pa.string())] * give_text, names)
+                if texts:
+                    kept.append(decoded(left))
+                    gone.append(runs)
+                if passages:
+                    runs = [r for r in _runs(b, e, [True] * len(b or ()), len(text)) if len(text[slice(*r)].split()) >= least_words]
+                    short.append(runs)
+                    rest.append(decoded(_without(text, runs)))
+            arrays = [*x.columns[4:], *(pa.array([c[i] for c in counts], pa.int64()) for i in range(3)), pa.array(digests, pa.string())]
+            arrays += [as_runs(gone), pa.array(kept, pa.string())] * texts + [as_runs(short), pa.array(rest, pa.string())] * passages
+            yield pa.RecordBatch.from_arrays(arrays, names)
 
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, **options) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, length: int = 400, passage: int | None = None, least_words: int = 0, **options) -> DataFrame:
     """One row per row of ``docs``: id, n_bytes, n_removed, n_spans, kept_sha256. With
-    ``keep`` (names of more columns, may be empty) also those and the text that is left.
-
-    Null counts as empty. Texts shorter than ``length`` bytes are left as they are. Rows
-    that repeat an id and text are copies of each other, so all of both that lies in
-    strings of ``length`` bytes goes; null ids are allowed. Columns not in ``keep`` are
-    ignored. An empty table gives an empty result.
+    ``keep`` (names of more columns, may be empty) also those, the runs that go (``removed``:
+    begin and end in bytes), and the text that is left, by the name of the text column.
+
+    With ``passage``, runs of strings of that many bytes that repeat are found too, and of
+    these the ones with ``least_words`` words or more are given as ``passages``; the text
+    that is left of them has the text column's name, that at ``length`` is ``kept_text``.
+    Without it ``least_words`` holds for the runs at ``length``.
+
+    Null counts as empty. Texts shorter than ``length`` bytes are left as they are; long
+    ones are read in blocks. Of strings that repeat all go, there is no first that stays,
+    so ties need no order. Rows that repeat an id and text are copies of each other, so all
+    of both that lies in strings of ``length`` bytes goes; null ids are allowed. Columns not
+    in ``keep`` are ignored. An empty table gives an empty result.
     """
     require(docs, id_col, text_col, *(keep or []))
-    keys = [F.xxhash64(F.col(id_col), F.lit(1)).alias("k1"), F.xxhash64(F.col(text_col), F.col(id_col)).alias("k2")]
     others = [F.col(c).alias(f"c{i}") for i, c in enumerate([id_col, *(keep or [])])]
-    rows = in_batches(docs).select(F.col(text_col).alias("text"), *keys, *others)
-    spans = repeated_spans(rows.select("k1", "k2", "text"), **options).groupBy("k1", "k2").agg(F.collect_list("b").alias("b"), F.collect_list("e").alias("e"))  # of one text
-    names = ["z", *rows.columns[1:]]
+    rows = docs.select(F.col(text_col).alias("text"), *others)
     kinds = [f"{n} {t}" for n, t in rows.dtypes[1:]]
-    packed = rows.mapInArrow(compress(names), ", ".join(["z binary", *kinds]))
-    joined = packed.join(spans.hint("shuffle_hash"), ["k1", "k2"], "left").select("z", "b", "e", *names[3:])
-    more = ["n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["left_text"] * (keep is not None)
-    out = joined.mapInArrow(_removed([*names[3:], *more], keep is not None), ", ".join([*kinds[2:], "n_bytes long, n_removed long, n_spans long, kept_sha256 string", *["left_text string"] * (keep is not None)]))
-    back = [F.col(n).alias(c) for n, c in zip(names[3:], [id_col, *(keep or [])])]
-    return out.select(*back, *more[:4], *[F.col("left_text").alias(text_col)] * (keep is not None))
+    packed = rows.mapInArrow(compress(["z", *rows.columns[1:]]), ", ".join(["z binary", *kinds]))
+    packed = stage(packed.withColumn("row", F.monotonically_increasing_id()), "texts")
+    spans = repeated_spans(packed, length, passage, **options).groupBy("row").agg(*[F.collect_list(c).alias(c) for c in ("b", "e", "wide")])  # of one text
+    texts, passages = keep is not None, passage is not None and passage < length and keep is not None
+    joined = packed.join(spans.hint("shuffle_hash"), "row", "left").select("z", "b", "e", "wide", *rows.columns[1:])
+    more = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string"}
+    more |= {"removed": "array<struct<begin:long,end:long>>", "kept_text": "string"} if texts else {}
+    more |= {"passages": "array<struct<begin:long,end:long>>", "left_text": "string"} if passages else {}
+    out = joined.mapInArrow(_removed([*rows.columns[1:], *more], texts, passages, least_words), ", ".join([*kinds, *(f"{n} {t}" for n, t in more.items())]))
+    named = {"left_text" if passages else "kept_text": text_col}
+    back = [F.col(n).alias(c) for n, c in zip(rows.columns[1:], [id_col, *(keep or [])])]
+    return out.select(*back, *[F.col(n).alias(named.get(n, n)) for n in more])

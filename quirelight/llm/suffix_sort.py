@@ -26,14 +26,15 @@ def _types(s: np.ndarray) -> np.ndarray:
     return np.append(s[at] < s[at + 1], True)
 
 
-def sparse_suffix_array(segments: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, bytes]:
-    """(starts in order, base of each segment, buffer): starts of all strings of
-    ``length`` bytes within segments, sorted."""
+def sparse_suffix_array(segments: list[bytes], length: int, least: int | None = None) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """(starts in order, base of each segment, buffer): starts of all strings of ``least``
+    bytes (by default ``length``) within segments, sorted by their first ``length``."""
+    least = least or length
     buffer = _END.join(segments) + _END * (length + 8)
     s = np.frombuffer(buffer, np.uint8)
     sizes = np.fromiter(map(len, segments), np.int64, len(segments))
     base = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
-    windows = np.maximum(sizes - length + 1, 0)
+    windows = np.maximum(sizes - least + 1, 0)
     small = _types(s)
     valid = np.zeros(len(s) + 1, np.int8)
     has = windows > 0
@@ -45,11 +46,13 @@ def sparse_suffix_array(segments: list[bytes], length: int) -> tuple[np.ndarray,
     for a, b in zip((base + windows)[has], next_small[(base + windows - 1)[has]]):  # up to a suffix of type S
         taken[a : b + 1] = True
 
-    direct = np.flatnonzero(taken & small).tolist()
-    direct.sort(key=lambda i: buffer[i : i + length])
-    of_small: list[list[int]] = [[] for _ in range(256)]
-    for i in direct:
-        of_small[buffer[i]].append(i)
+    direct = np.flatnonzero(taken & small)
+    direct = direct[np.argsort(s[direct], kind="stable")]
+    of_small: list[list[int]] = []
+    for part in np.split(direct, np.searchsorted(s[direct], np.arange(1, 256))):  # by first byte, so that few keys are held at a time
+        mine = part.tolist()
+        mine.sort(key=lambda i: buffer[i : i + length])
+        of_small.append(mine)
     large = (taken & ~small).astype(np.uint8).tobytes()
     of_large: list[list[int]] = [[] for _ in range(256)]
     order: list[int] = []
@@ -63,6 +66,7 @@ def sparse_suffix_array(segments: list[bytes], length: int) -> tuple[np.ndarray,
             if large[i - 1] and i:
                 of_large[buffer[i - 1]].append(i - 1)
         order += of_small[c]
+        of_large[c] = of_small[c] = []
     found = np.array(order, np.int64)
     return found[valid[found]] if len(found) else found, base, buffer
 
@@ -85,20 +89,29 @@ def common_prefixes(order: np.ndarray, buffer: bytes, most: int) -> np.ndarray:
     return np.minimum(out, most)
 
 
-def repeated_starts(segments: list[bytes], document: np.ndarray, begin: np.ndarray, copies: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(segment, offset) of each string of ``length`` bytes that starts in two places or
-    more. A place is (document, begin of the segment + offset), so that segments of one
-    document may overlap; a segment of more than one copy has all its strings twice."""
-    order, base, buffer = sparse_suffix_array(segments, length)
+def repeated_starts(segments: list[bytes], document: np.ndarray, begin: np.ndarray, copies: np.ndarray, lengths: list[int]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each of ``lengths`` (ascending): (segment, offset) of each string of that many bytes
+    that starts in two places or more. A place is (document, begin of the segment + offset), so
+    that segments of one document may overlap; a segment of more than one copy has all its
+    strings twice."""
+    order, base, buffer = sparse_suffix_array(segments, lengths[-1], lengths[0])
     if not len(order):
-        return order, order
-    same = common_prefixes(order, buffer, length) >= length
+        return {n: (order, order) for n in lengths}
     segment = np.searchsorted(base, order, "right") - 1
     offset = order - base[segment]
-    first = np.flatnonzero(~same)
+    room = np.fromiter(map(len, segments), np.int64, len(segments))[segment] - offset  # bytes up to the segment's end
+    same = common_prefixes(order, buffer, lengths[-1])
+    same[1:] = np.minimum(same[1:], np.minimum(room[1:], room[:-1]))
     place_d, place_o = document[segment], begin[segment] + offset
-    differ = copies[segment] > 1
-    differ[1:] |= same[1:] & ((place_d[1:] != place_d[:-1]) | (place_o[1:] != place_o[:-1]))
-    again = np.logical_or.reduceat(differ, first)
-    again = np.repeat(again, np.diff(np.append(first, len(order))))
-    return segment[again], offset[again]
+    apart = np.ones(len(order), bool)
+    apart[1:] = (place_d[1:] != place_d[:-1]) | (place_o[1:] != place_o[:-1])
+    out = {}
+    for n in lengths:
+        joined = same >= n
+        differ = copies[segment] > 1
+        differ[1:] |= joined[1:] & apart[1:]
+        first = np.flatnonzero(~joined)
+        again = np.logical_or.reduceat(differ, first)
+        again = np.repeat(again, np.diff(np.append(first, len(order)))) & (room >= n)
+        out[n] = segment[again], offset[again]
+    return out

@@ -5,6 +5,8 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
+from quirelight.llm import suffix_dedup
 from quirelight.llm.suffix_dedup import remove_repeats
 from quirelight.llm.suffix_sort import common_prefixes, sparse_suffix_array
 
@@ -56,14 +58,47 @@ def corpus():
     return texts
 
 
+@pytest.mark.parametrize("passage", [None, 25])
 @pytest.mark.parametrize("most_reaches", [2000, 3])
-def test_remove_repeats(spark, most_reaches):
+def test_remove_repeats(spark, most_reaches, passage):
     texts = corpus()
     rows = [(i, t, "x", 1) for i, t in enumerate(texts)] + [(3, texts[3], "x", 1), (None, "q" * 10, "x", 1), (None, texts[0], "x", 1)]
     want = sorted(zip((str(r[0]) for r in rows), plain([r[1] for r in rows], 40)))
     df = spark.createDataFrame(rows, "doc_id long, text string, z string, b int")
-    got = remove_repeats(df, length=40, gram=20, block_bytes=3000, most_reaches=most_reaches).collect()
+    gram = {"gram": 20} if passage is None else {"passage": passage, "gram": 12}
+    got = remove_repeats(df, length=40, keep=["z"], block_bytes=3000, most_reaches=most_reaches, **gram).collect()
     assert sorted((str(x["doc_id"]), tuple(x[c] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256"))) for x in got) == want
+    for x in got:
+        assert sum(r["end"] - r["begin"] for r in x["removed"]) == x["n_removed"]
+    if passage:
+        want = sorted(zip((str(r[0]) for r in rows), plain([r[1] for r in rows], passage)))
+        assert sorted((str(x["doc_id"]), (x["n_bytes"], sum(r["end"] - r["begin"] for r in x["passages"]), len(x["passages"]))) for x in got) == [(i, w[:3]) for i, w in want]
+
+
+def test_pieces_of_long_texts(monkeypatch):
+    r = np.random.default_rng(2)
+    texts = [bytes(r.choice(list(b"abcd"), n).astype(np.uint8)) for n in (5000, 10, 39, 40, 41, 700, 0, 3000)]
+    whole = [set(zip(*(c.tolist() for c in suffix_dedup.anchors([t], 40, 25, 12)))) for t in texts]
+    monkeypatch.setattr(suffix_dedup, "_BLOCK", 200)
+    got = [set(zip(*(c.tolist() for c in suffix_dedup.anchors([t], 40, 25, 12)))) for t in texts]
+    assert got == whole and all(w for t, w in zip(texts, whole) if len(t) >= 25)
+    together = set(zip(*(c.tolist() for c in suffix_dedup.anchors(texts, 40, 25, 12))))
+    assert together == {(i, *a[1:]) for i, w in enumerate(whole) for a in w}
+    assert {a[:3] for a in together} == set(zip(*(c.tolist() for c in suffix_dedup.anchors(texts, 40, 25, 12, False))))
+
+
+def test_least_words(spark):
+    line = " ".join(f"word{i}" for i in range(60))
+    df = spark.createDataFrame([(1, f"one {line} a"), (2, f"two {line} b"), (3, f"three {line[:200]} c"), (4, line[:30])], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"].split() for r in remove_repeats(df, keep=[], length=100, least_words=50).collect()}
+    assert len(got[1]) <= 2 and len(got[2]) <= 2 and len(got[3]) > 25  # a part of it that has too few words stays
+
+
+def test_rows_that_repeat_have_spans_of_their_own(spark):
+    text = "".join(np.random.default_rng(1).choice(list("abcdefgh "), 4000))
+    df = spark.range(800).select(F.lit(None).cast("long").alias("doc_id"), F.lit(text).alias("text"))
+    got = remove_repeats(df).collect()
+    assert len(got) == 800 and all(r["n_removed"] == 4000 and r["n_spans"] == 1 for r in got)
 
 
 def test_text_and_columns(spark):
