@@ -49,13 +49,13 @@ def connected_components(links: DataFrame) -> DataFrame:
     state = None
     while True:
         both = star.unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+        least = stage(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")), "least")  # written, so that the join may split a hub
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = stage(large, "large")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = stage(large, "large", [star, least])
+        least = stage(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         joined = large.join(least, "a")
         small = joined.where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
-        star = stage(small, "small")
+        star = stage(small, "small", [large, least])
         now = star.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             break
