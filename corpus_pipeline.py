@@ -1,72 +1,5 @@
-"""From raw documents to packed training sequences, in five stages.
+"""The pipeline from raw documents to packed sequences; its stages are in quirelight.llm.pipeline."""
 
-Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; what
-it returns is written as Parquet and read again as the next one's docs.
-"""
+from quirelight.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from quirelight.llm.common import stage
-from quirelight.llm.exact_dedup import exact_dedup
-from quirelight.llm.langid import fit, held_out, predict
-from quirelight.llm.near_sets import near_groups
-from quirelight.llm.packing import pack
-from quirelight.llm.suffix_dedup import remove_repeats
-
-LEAST_SCORE = 0.5  # of a language
-
-
-def _rest(docs: DataFrame, *but: str) -> DataFrame:
-    """The columns ``but`` and one struct of all others, whose names then clash with nothing."""
-    return docs.select(*but, F.struct(*[c for c in docs.columns if c not in but]).alias("_rest"))
-
-
-def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents go that have no letters or whose language stays open."""
-    model = fit(docs.where(~held_out()))
-    found = predict(_rest(docs, "doc_id", "text"), model, keep={"_whole": F.col("text"), "_rest": F.col("_rest")})
-    kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
-    return kept.select("doc_id", F.col("_whole").alias("text"), "_rest.*").select(docs.columns)
-
-
-def one_of_equal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the largest doc_id stays."""
-    kept = exact_dedup(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
-
-
-def one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the least doc_id stays. Links are
-    pairs whose sets of five-word shingles have a similarity of 0.8 or more, all of them."""
-    kept = near_groups(docs, words=5, similarity=0.8).where("doc_id = component_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
-
-
-def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that occur elsewhere are cut out of texts; n_chars follows. No row goes."""
-    cut = remove_repeats(_rest(docs, "doc_id", "text"), keep=["_rest"]).select("doc_id", "text", "_rest.*")
-    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
-
-
-def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(docs)
-
-
-STAGES = [
-    ("language_id", known_language),
-    ("exact_dedup", one_of_equal),
-    ("simhash_near_dedup", one_of_near),
-    ("suffix_array_dedup", without_repeats),
-    ("best_fit_packing", packed),
-]
-ORACLE_SQL = None  # language ID, near-duplicates and best fit are beyond SQL; tests hold each stage against brute force
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, f in STAGES[:-1]:
-        docs = stage(f(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
