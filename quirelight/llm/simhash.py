@@ -7,10 +7,12 @@ text's word shingles. Rows of equal fingerprints are one class. Classes within
 Candidates: the 64 bits are cut into ``blocks`` pieces. Two fingerprints that differ in
 at most ``radius`` bits agree on at least ``blocks - radius`` whole pieces, so classes
 are dealt by each choice of that many pieces, and no link is missed. Within a bucket
-pivot tables decide: the Hamming distances to fixed reference fingerprints are
-precomputed, a pair whose coordinates differ by more than ``radius`` anywhere cannot be
-close (triangle inequality) and is discarded, and what survives is verified on the bits.
-A pivot table alone would have to look at all pairs, hence the buckets before it.
+pivot tables decide: the Hamming distances of a class to 24 fixed reference fingerprints
+are computed once and travel with it, a pair whose coordinates differ by more than
+``radius`` anywhere cannot be close (triangle inequality) and is discarded, and what
+survives is verified on the bits. A large bucket is kept in order of the first coordinate,
+so that a member looks at those within ``radius`` of its own only. A pivot table alone would
+have to look at all pairs, hence the buckets before it.
 
 Buckets of many members are searched from member to member: a member once reached is
 compared with members not yet reached only. A bucket yields a spanning forest of its
@@ -21,15 +23,16 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import require, stage
+from .common import require, slices, stage
 from .components import connected_components, stars
 
 SEED = 42
@@ -61,7 +64,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, fp): fp is the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
+        for x in slices(batches):
             got = [fingerprint(t or b"", words) for t in x.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([x.column(0), pa.array(np.array(got, np.uint64).view(np.int64))], ["id", "fp"])
 
@@ -69,72 +72,88 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp long")
 
 
-def _edges_small(at: np.ndarray, run: np.ndarray, fp: np.ndarray, radius: int) -> list[np.ndarray]:
+def _distances() -> list[Column]:
+    """Hamming distances of ``fp`` to the pivots, eight to a long."""
+    each = [F.bit_count(F.col("fp").bitwiseXOR(F.lit(int(p)))).cast("long") for p in _PIVOTS.view(np.int64)]
+    return [reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft(each[8 * k + i], 8 * i) for i in range(8)]).alias(f"d{k}") for k in range(len(each) // 8)]
+
+
+def _edges_small(at: np.ndarray, run: np.ndarray, fp: np.ndarray, table: np.ndarray, radius: int) -> list[np.ndarray]:
     """Links among the rows ``at``, which are in order of their bucket ``run``."""
-    table = np.bitwise_count(fp[at][:, None] ^ _PIVOTS).astype(np.int8)
+    table = table[at]
     out, f, r = [], fp[at], run[at]
     for step in range(1, _SMALL):
         pair = np.flatnonzero(r[step:] == r[:-step])
         if not len(pair):
             break
-        for p in _PIVOT_ORDER:
+        for p in range(table.shape[1]):
             pair = pair[np.abs(table[pair, p] - table[pair + step, p]) <= radius]
         pair = pair[np.bitwise_count(f[pair] ^ f[pair + step]) <= radius]
         out.append(np.column_stack([at[pair], at[pair + step]]))
     return out
 
 
-_PIVOT_ORDER = range(len(_PIVOTS))
-
-
-def _edges_large(at: np.ndarray, fp: np.ndarray, radius: int) -> np.ndarray:
+def _edges_large(at: np.ndarray, fp: np.ndarray, table: np.ndarray, radius: int) -> np.ndarray:
     """A spanning forest of the links among the rows ``at`` of one bucket."""
-    table = np.bitwise_count(fp[at][:, None] ^ _PIVOTS[:4]).astype(np.int8)
-    left, out, todo = np.arange(len(at)), [], []
-    while len(left):
-        if todo:
-            i = todo.pop()
-        else:
-            i, left = left[0], left[1:]
-        near = np.abs(table[left, 0] - table[i, 0]) <= radius
+    order = np.argsort(table[at, 0], kind="stable")  # a member's partners lie within ``radius`` of its first distance
+    at = at[order]
+    first, table, fp = table[at, 0], table[at], fp[at]
+    reached, out, start, todo = np.zeros(len(at), bool), [], 0, []
+    while True:
+        if not todo:
+            while start < len(at) and reached[start]:
+                start += 1
+            if start == len(at):
+                break
+            reached[start] = True
+            todo.append(start)
+        i = todo.pop()
+        low, high = np.searchsorted(first, [first[i] - radius, first[i] + radius + 1])
+        near = low + np.flatnonzero(~reached[low:high])
         for p in range(1, table.shape[1]):
-            near &= np.abs(table[left, p] - table[i, p]) <= radius
-        near = np.flatnonzero(near)
-        near = near[np.bitwise_count(fp[at[left[near]]] ^ fp[at[i]]) <= radius]
+            near = near[np.abs(table[near, p] - table[i, p]) <= radius]
+        near = near[np.bitwise_count(fp[near] ^ fp[i]) <= radius]
         if len(near):
-            found = left[near]
-            out.append(np.column_stack([np.full(len(found), at[i]), at[found]]))
-            todo += found.tolist()
-            left = np.delete(left, near)
+            reached[near] = True
+            out.append(np.column_stack([np.full(len(near), at[i]), at[near]]))
+            todo += near.tolist()
     return np.concatenate(out) if out else np.empty((0, 2), np.int64)
 
 
-def _links_of(bucket: np.ndarray, rep: np.ndarray, fp: np.ndarray, radius: int) -> np.ndarray:
-    """Rows in order of their bucket -> links between reps."""
+def _links_of(bucket: np.ndarray, fp: np.ndarray, table: np.ndarray, radius: int) -> np.ndarray:
+    """Rows in order of their bucket -> links between fingerprints, as signed longs.
+    table: their distances to the pivots."""
     start = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
     size = np.diff(np.r_[start, len(bucket)])
     run = np.repeat(np.arange(len(start)), size)
     each = np.repeat(size, size)
-    out = _edges_small(np.flatnonzero((each > 1) & (each <= _SMALL)), run, fp, radius)
-    out += [_edges_large(np.arange(a, a + n), fp, radius) for a, n in zip(start[size > _SMALL], size[size > _SMALL])]
-    return stars(rep[np.concatenate(out)]) if out else np.empty((0, 2), np.int64)
+    out = _edges_small(np.flatnonzero((each > 1) & (each <= _SMALL)), run, fp, table, radius)
+    out += [_edges_large(np.arange(a, a + n), fp, table, radius) for a, n in zip(start[size > _SMALL], size[size > _SMALL])]
+    return stars(fp.view(np.int64)[np.concatenate(out)]) if out else np.empty((0, 2), np.int64)
 
 
 def _search(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def yielded(x):
-            got = _links_of(x[:, 0], x[:, 1], x[:, 2].view(np.uint64), radius)
+            table = np.ascontiguousarray(x[:, 2:]).view(np.uint8).astype(np.int8)
+            got = _links_of(x[:, 0], x[:, 1].copy().view(np.uint64), table, radius)
             return pa.RecordBatch.from_arrays([pa.array(got[:, 0].copy()), pa.array(got[:, 1].copy())], ["a", "b"])
 
-        held = np.empty((0, 3), np.int64)
-        for x in batches:
-            held = np.concatenate([held, np.column_stack([x.column(i).to_numpy() for i in range(3)])])
-            cut = np.searchsorted(held[:, 0], held[-1, 0]) if len(held) else 0  # the last bucket may go on
-            if cut:
-                yield yielded(held[:cut])
-                held = held[cut:]
-        if len(held):
-            yield yielded(held)
+        held, rows, goal = [], 0, 1 << 16
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(np.column_stack([c.to_numpy() for c in b.columns]))
+            rows += b.num_rows
+            if rows >= goal:
+                x = np.concatenate(held)
+                cut = np.searchsorted(x[:, 0], x[-1, 0])  # the last bucket may go on
+                if cut:
+                    yield yielded(x[:cut])
+                held, rows = [x[cut:]], len(x) - cut
+                goal = max(1 << 16, 2 * rows)
+        if rows:
+            yield yielded(np.concatenate(held))
 
     return run
 
@@ -157,18 +176,22 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     fingerprints are linked. ``blocks``: pieces to cut fingerprints into; by default the
     fewest whose bucket keys have as many bits as the number of classes has.
 
-    Null and empty texts have fingerprint zero and are linked like any other. Null ids
-    give component_id null where no other id is in reach. Repeated ids are allowed. Other
+    Null and empty texts have fingerprint zero and are linked like any other; very long ones
+    are hashed in parts. Rows with null ids link like any other; component_id is null where
+    no other id is in reach. Repeated ids and rows are allowed. Other
     columns are ignored. An empty table gives an empty result.
     """
     require(docs, id_col, text_col)
     fps = stage(fingerprints(docs, id_col, text_col, words), "fingerprints")
-    classes = stage(fps.groupBy("fp").agg(F.min("id").alias("rep")), "classes")
+    classes = stage(fps.groupBy("fp").agg(F.min("id").alias("rep")).select("fp", "rep", *_distances()), "classes")
     if blocks is None:
         bits = math.log2(max(2, classes.count()))
         blocks = next(b for b in range(radius + 2, 65) if 64 * (b - radius) / b >= min(bits, 40))
-    dealt = classes.where("rep IS NOT NULL").select(F.explode(_bucket_keys(blocks, radius)).alias("bucket"), "rep", "fp")
+    tables = [c for c in classes.columns if c not in ("fp", "rep")]
+    dealt = classes.select(F.explode(_bucket_keys(blocks, radius)).alias("bucket"), "fp", *tables)
     found = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_search(radius), "a long, b long")
-    groups = connected_components(found)
-    named = classes.join(groups, classes["rep"] == groups["id"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    groups = connected_components(found).withColumnRenamed("id", "fp")  # of fingerprints, so that null ids are in them too
+    named = stage(classes.select("fp", "rep").join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp")), "named")
+    least = stage(named.groupBy("component").agg(F.min("rep").alias("component_id")), "least")
+    named = named.join(least, "component").select("fp", "component_id")
     return fps.join(named, "fp", "left").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 from quirelight.llm.components import connected_components, stars
-from quirelight.llm.simhash import _links_of, fingerprint, simhash_groups
+from quirelight.llm.simhash import _PIVOTS, _distances, _links_of, fingerprint, simhash_groups
 
 
 def plain(text):
@@ -47,7 +47,28 @@ def test_links_reach_what_all_pairs_reach():
     want = [(i, j) for i in range(400) for j in range(i) if (int(fp[i]) ^ int(fp[j])).bit_count() <= 4]
     for bucket in (np.zeros(400, np.int64), np.arange(400) // 50):
         here = [(i, j) for i, j in want if bucket[i] == bucket[j]]
-        assert roots(_links_of(bucket, np.arange(400), fp, 4).tolist(), range(400)) == roots(here, range(400))
+        table = np.bitwise_count(fp[:, None] ^ _PIVOTS).astype(np.int8)
+        at = {int(f): i for i, f in enumerate(fp.view(np.int64))}
+        found = [(at[a], at[b]) for a, b in _links_of(bucket, fp, table, 4).tolist()]
+        assert roots(found, range(400)) == roots(here, range(400))
+
+
+def test_null_and_repeated_ids(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(5, text), (None, text), (None, text + " x"), (9, text + " x"), (9, "other"), (9, "other"), (None, "alone here"), (3, text)]
+    got = simhash_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    fp = lambda t: f"{plain(t):016x}"
+    near = (plain(text) ^ plain(text + " x")).bit_count() <= 4
+    want = [(i, fp(t), None if t == "alone here" else 9 if t == "other" else 3 if near or t == text else 9) for i, t in rows]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_distances_are_those_to_the_pivots(spark):
+    fp = np.random.default_rng(4).integers(-(2**63), 2**63 - 1, 50)
+    got = spark.createDataFrame([(int(x),) for x in fp], "fp long").select("fp", *_distances()).collect()
+    for r in got:
+        bytes_ = np.array([r["d0"], r["d1"], r["d2"]], np.int64).view(np.uint8)
+        assert bytes_.tolist() == [(int(p) ^ r["fp"] & (1 << 64) - 1).bit_count() for p in _PIVOTS]
 
 
 def test_groups(spark):
