@@ -2,7 +2,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
-from quirelight.llm.sharding import shard_by_bytes
+from quirelight.llm.sharding import _cuts, shard_by_bytes
 
 
 def check(got, rows, shards):
@@ -33,10 +33,33 @@ def test_few_rows_and_a_long_one(spark):
     assert shard_by_bytes(df.where("false")).collect() == []
 
 
-def test_equal_texts_share_a_shard(spark):
-    rows = [(i, f"text number {i % 150} " * 9) for i in range(1500)]
-    got = shard_by_bytes(spark.createDataFrame(rows, "doc_id long, text string"), shards=4, cells_per_shard=2).collect()
-    of = defaultdict(set)
+def together(got):
+    of, size = defaultdict(set), defaultdict(int)
     for r in got:
         of[r["text_crc32"]].add(r["shard"])
-    assert all(len(s) == 1 for s in of.values())
+        size[r["text_crc32"]] += r["size"]
+    return {k: len(v) for k, v in of.items()}, size
+
+
+def test_equal_texts_share_a_shard(spark):
+    for rows in ([(i, f"text number {i % 150} " * 9) for i in range(1500)], [(i, f"{i % 3000:05} " * 20) for i in range(9000)]):
+        got = shard_by_bytes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        size = check(got, rows, 16)
+        assert set(together(got)[0].values()) == {1}
+        assert max(size) - min(size) < 0.1 * sum(size) / 16
+
+
+def test_groups_larger_than_cells_stay_whole(spark):
+    rows = [(None, f"{'x' * 50} {i}" if i % 2 else f"group {i % 18} " * 12) for i in range(4000)]
+    rows += [(None, "a third of all rows")] * 8000
+    got = shard_by_bytes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    size = check(got, rows, 16)
+    of, held = together(got)
+    assert all(n == 1 for k, n in of.items() if held[k] <= sum(size) / 16)
+    assert max(of.values()) > 1 and max(size) - min(size) < 0.1 * sum(size) / 16
+
+
+def test_cuts_fill_up_to_one_level():
+    assert _cuts([0, 0, 0, 0], 8) == [2, 4, 6]
+    assert _cuts([5, 0, 0, 3], 4) == [0, 2, 4]
+    assert _cuts([5, 0, 0, 3], 12) == [0, 5, 10]
