@@ -1,7 +1,6 @@
 """The main text of web pages: composite text density over the DOM.
 
-A forgiving parser makes the DOM; elements that never hold an article (menus, footers,
-forms, scripts, what is hidden or named as advert, notice, comment and so on) leave no
+A forgiving parser makes the DOM. Scripts, styles, controls and what is hidden leave no
 text. For every node the characters per tag are computed and adjusted for links:
 
     density = C/T * ln(C/LC * T/LT) / ln ln(C/(C-LC) * LC + LCb/Cb * C + e)
@@ -9,8 +8,14 @@ text. For every node the characters per tag are computed and adjusted for links:
 with characters C, tags T, link characters LC and link tags LT of its subtree, and those
 of the body for b. The node whose children's densities have the largest sum is the core
 of the article. The least density on the way from it to the body is the threshold:
-beside the core (or the article element around it) those subtrees belong to the text
-that hang on this way and are no less dense.
+beside the core those subtrees belong to the text that hang on this way and are no less
+dense.
+
+Elements named as menu, footer, advert, notice, comment and so on are suspects. A name
+alone silences nothing: a suspect counts as noise, and adds nothing to densities, while it
+holds little of the page's text, and is text like any other if it holds most of it and
+there is no article beside it. How much is little depends on the name: least for one that
+only contains such a word and stands beside names such as content or article.
 """
 
 from __future__ import annotations
@@ -24,13 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import require
+from .common import require, slices
 
 _names = lambda text: frozenset(text.split())
 VOID = _names("area base basefont bgsound br col embed frame hr img input keygen link meta param source track wbr")
 INLINE = _names("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr")
 RAW = _names("script style textarea title xmp iframe noembed noframes")
-NO_TEXT = _names("head script style noscript template nav footer aside form button select option optgroup textarea datalist title iframe noembed noframes object embed applet svg canvas audio video map dialog menu input")
+NO_TEXT = _names("head script style noscript template button select option optgroup textarea datalist title iframe noembed noframes object embed applet svg canvas audio video input")
+ASIDE = _names("nav footer aside form dialog menu map header")
 CLOSES_P = _names("address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table ul")
 KEPT = _names("html body article main")
 NOISE = _names(
@@ -38,58 +44,96 @@ NOISE = _names(
     "discussion disqus footer gdpr header login masthead menu menus modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promos promoted promotion "
     "recommended recommendations related replies reply respond search share sharing sidebar sidebars signup skip social sponsor sponsored sponsors subscribe subscription tagcloud toolbar topbar tracking widget widgets"
 )
+GOOD = _names("article body content entry main post story text")
+_NOT = _names("has is no not with without")  # has-sidebar is no sidebar
+SURE, LIKELY, MAYBE = 3, 2, 1  # suspects
+_MOST = {SURE: 0.5, LIKELY: 0.5, MAYBE: 0.2}  # shares of the text up to which they are noise
+_BESIDE = 0.2  # share of the text outside suspects from which a larger sure one is noise too, as it is beside an <article>
 _SAME = {"li": ("li", _names("ul ol menu dir")), "dt": ("dt dd", _names("dl")), "dd": ("dt dd", _names("dl")), "tr": ("tr td th", _names("table tbody thead tfoot")), "td": ("td th", _names("tr table")), "th": ("td th", _names("tr table")), "option": ("option", _names("select datalist"))}
 _SAME = {k: (_names(a), b) for k, (a, b) in _SAME.items()}
 _HOLDS_P = _names("table td th caption button object applet marquee html body")
 _MARK = re.compile(r"""<(?:!--(?:>|->|.*?(?:--!?>|\Z))|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|[!?/][^>]*(?:>|\Z))""", re.S)
 _ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?![\w-])(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I) for tag in RAW}
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "up", "kids", "mute", "chars", "tags", "link_chars", "link_tags", "density", "first", "last")
+    __slots__ = ("tag", "up", "kids", "mute", "suspect", "open", "plain", "chars", "tags", "link_chars", "link_tags", "density", "first", "last")
 
-    def __init__(self, tag: str, up: Node | None, mute: bool):
-        self.tag, self.up, self.kids, self.mute = tag, up, [], mute
-        self.chars = self.tags = self.link_chars = self.link_tags = 0
+    def __init__(self, tag: str, up: Node | None, mute: bool, suspect: int = 0):
+        self.tag, self.up, self.kids, self.mute, self.suspect, self.open = tag, up, [], mute, suspect, True
+        self.plain = self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density, self.first, self.last = 0.0, 0, 0
         if up is not None:
             up.kids.append(self)
 
 
-def _noise(tag: str, attrs: str, in_article: bool) -> bool:
-    if tag in NO_TEXT or tag == "header" and not in_article:
-        return True
+def _hidden(name: str, value: str) -> bool:
+    return name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and bool(_HIDDEN.search(value))
+
+
+def _judged(tag: str, attrs: str, in_article: bool) -> tuple[bool, int]:
+    """(whether an element never has text, how suspect it is by its names)."""
+    if tag in NO_TEXT:
+        return True, 0
+    suspect = SURE if tag in ASIDE and not (tag == "header" and in_article) else 0
     if not attrs or tag in KEPT:
-        return False
+        return False, suspect
+    whole = part = good = False
     for name, value in _ATTR.findall(attrs):
         name, value = name.lower(), html.unescape(value.strip("\"'"))
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _HIDDEN.search(value):
-            return True
+        if _hidden(name, value):
+            return True, 0
         if name in ("class", "id", "role"):
-            for w in _WORD.findall(value):
-                w = w.lower()
-                if w in NOISE and not (w in ("header", "byline") and in_article):
-                    return True
-    return False
+            for token in value.split():
+                words = [w.lower() for w in _WORD.findall(token)]
+                bad = [w for w in words if w in NOISE and not (w in ("header", "byline") and in_article)]
+                if not bad:
+                    good |= any(w in GOOD for w in words)
+                elif len(words) == 1:
+                    whole = True
+                elif words[0] not in _NOT:
+                    part = True
+    return False, max(suspect, SURE if whole else 0 if not part else MAYBE if good else LIKELY)
 
 
 def parse(page: str) -> tuple[Node, list[tuple[Node, str, bool]]]:
-    """(body, texts): texts are (node, text or None for a block's end, within a link) in page order."""
+    """(body, texts): texts are (node, text or None for a block's end, within a link) in page order.
+
+    Open elements lie on a stack. Where each tag is open, and where blocks and what holds
+    paragraphs are, is kept beside it, so that no tag searches the stack: the time is linear.
+    An inline element that ends while a block in it is open stays on the stack, closed."""
     root = Node("html", None, False)
     body = Node("body", root, False)
-    stack, texts, links, articles = [root, body], [], 0, 0
+    stack, texts = [root, body], []
+    opened: dict[str, list[int]] = {"html": [0], "body": [1]}
+    blocks, holders = [0, 1], [0, 1]
     at, n = 0, len(page)
 
-    def pop(to: int) -> None:
-        nonlocal links, articles
+    def is_open(*tags: str) -> bool:
+        return any(opened.get(t) for t in tags)
+
+    def close(node: Node) -> None:
+        node.open, node.last = False, len(texts)
+        opened[node.tag].pop()
+
+    def pop(to: int, ends_block: bool = True) -> None:
         while len(stack) > max(2, to):
             gone = stack.pop()
-            gone.last = len(texts)
-            links -= gone.tag == "a"
-            articles -= gone.tag in ("article", "main")
-        texts.append((stack[-1], None, False))
+            if gone.open:
+                close(gone)
+        while len(stack) > 2 and not stack[-1].open:
+            stack.pop()
+        for places in (blocks, holders):
+            while places[-1] >= len(stack):
+                places.pop()
+        if ends_block:
+            texts.append((stack[-1], None, False))
+
+    def last(tags) -> int:
+        return max((opened[t][-1] for t in tags if opened.get(t)), default=-1)
 
     while at < n:
         low = page.find("<", at)
@@ -99,7 +143,7 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str, bool]]]:
             m = _MARK.match(page, low) if low >= 0 else None
         stop = low if low >= 0 else n
         if stop > at and not stack[-1].mute:
-            texts.append((stack[-1], page[at:stop], links > 0))
+            texts.append((stack[-1], page[at:stop], is_open("a")))
         if not m:
             break
         at = m.end()
@@ -108,54 +152,47 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str, bool]]]:
             continue
         tag = tag.lower()
         if slash:
-            k = next((i for i in range(len(stack) - 1, 1, -1) if stack[i].tag == tag), 0)
-            if k and tag in INLINE and any(x.tag not in INLINE for x in stack[k + 1 :]):  # a block within stays open
-                gone = stack.pop(k)
-                gone.last = len(texts)
-                links -= tag == "a"
-            elif k and tag in INLINE:
-                while len(stack) > k:
-                    gone = stack.pop()
-                    gone.last = len(texts)
-                    links -= gone.tag == "a"
-            elif k:
+            k = last((tag,))
+            if k < 2:
+                continue
+            if tag not in INLINE:
                 pop(k)
+            elif blocks[-1] > k:  # a block within stays open
+                close(stack[k])
+            else:
+                pop(k, False)
             continue
         if tag in ("html", "body"):
             continue
-        if tag in CLOSES_P:
-            for i in range(len(stack) - 1, 1, -1):
-                if stack[i].tag == "p":
-                    pop(i)
-                    break
-                if stack[i].tag in _HOLDS_P:
-                    break
+        if tag in CLOSES_P and (k := last(("p",))) > holders[-1]:
+            pop(k)
         if tag in _SAME:
             closed, bounds = _SAME[tag]
-            for i in range(len(stack) - 1, 1, -1):
-                if stack[i].tag in closed:
-                    pop(i)
-                    if tag != "tr":
-                        break
-                elif stack[i].tag in bounds:
+            while (k := last(closed)) > last(bounds):
+                pop(k)
+                if tag != "tr":
                     break
         up = stack[-1]
         if tag == "br" and not up.mute:
             texts.append((up, " ", False))
         elif tag not in INLINE:
             texts.append((up, None, False))
-        node = Node(tag, up, up.mute or _noise(tag, attrs, articles > 0))
+        never, suspect = (True, 0) if up.mute else _judged(tag, attrs, is_open("article", "main"))
+        node = Node(tag, up, never, suspect)
         node.first = len(texts)
         if tag in RAW:
-            end = re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I).search(page, at)
+            end = _ENDS[tag].search(page, at)
             at = end.start() if end else n
-            close = page.find(">", at)
-            at = close + 1 if close >= 0 else n
+            close_at = page.find(">", at)
+            at = close_at + 1 if close_at >= 0 else n
             node.last = len(texts)
         elif tag not in VOID and not (attrs.endswith("/") and up.tag == "svg"):
+            opened.setdefault(tag, []).append(len(stack))
+            if tag not in INLINE:
+                blocks.append(len(stack))
+            if tag in _HOLDS_P:
+                holders.append(len(stack))
             stack.append(node)
-            links += tag == "a"
-            articles += tag in ("article", "main")
         else:
             node.last = len(texts)
     pop(0)
@@ -163,18 +200,61 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str, bool]]]:
     return body, texts
 
 
+def _in_order(body: Node) -> list[Node]:
+    """All nodes, what is below a node after it."""
+    order, todo = [], [body]
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        todo += node.kids
+    return order
+
+
+def _silence(body: Node, texts: list) -> None:
+    """Mutes suspects that hold little of the text, with all below them."""
+    for node, text, link in texts:
+        if text is not None and not link:
+            node.plain += len(text) - text.count(" ")
+    order = _in_order(body)
+    for node in reversed(order):
+        if node.up is not None:
+            node.up.plain += node.plain
+    total, outer, named = body.plain, 0, False  # outer: within the outermost suspects; named: an article is outside
+    todo = [body]
+    while todo:
+        node = todo.pop()
+        if node.suspect:
+            outer += node.plain
+        else:
+            named |= node.tag in ("article", "main") and node.plain > 0
+            todo += node.kids
+    beside = named or total - outer >= _BESIDE * total
+    left = total
+    for levels in ((SURE,), (LIKELY, MAYBE)):
+        whole, todo = left, [body]
+        while todo:
+            node = todo.pop()
+            if node.mute:
+                continue
+            if node.suspect in levels and (node.plain <= _MOST[node.suspect] * whole or node.suspect == SURE and beside):
+                node.mute = True
+                left -= node.plain
+            else:
+                todo += node.kids
+    for node in order:
+        if node.up is not None and node.up.mute:
+            node.mute = True
+
+
 def _measure(body: Node, texts: list) -> list[Node]:
     """Sets counts and densities; returns all nodes with what is below a node after it."""
+    _silence(body, texts)
     for node, text, link in texts:
-        if text is not None:
+        if text is not None and not node.mute:
             size = len(text) - text.count(" ")
             node.chars += size
             node.link_chars += size if link else 0
-    order, todo = [], [body]
-    while todo:
-        node = todo.pop()
-        order.append(node)
-        todo += node.kids
+    order = _in_order(body)
     for node in reversed(order):
         if node.up is not None and not node.mute:
             up = node.up
@@ -199,15 +279,12 @@ def _chosen(body: Node, order: list[Node]) -> list[Node]:
     while way[-1] is not body:
         way.append(way[-1].up)
     threshold = min(x.density for x in way)
-    top = next((i for i, x in reversed(list(enumerate(way))) if x.tag == "article"), None)
-    if top is None:
-        top = next((i for i, x in enumerate(way) if x.tag == "main"), 0)
+    top = 0
     if best.tag in INLINE or best.tag == "p":  # a lone paragraph stands for what holds it
-        top = max(top, next((i for i, x in enumerate(way) if x.tag not in INLINE and x.tag != "p"), 0))
-    taken = [way[top]]
-    if way[top].tag not in ("article", "main"):
-        for x in way[top + 1 :]:
-            taken += [k for k in x.kids if k not in way and not k.mute and k.tag not in INLINE and k.density >= threshold and k.density > 0]
+        top = next((i for i, x in enumerate(way) if x.tag not in INLINE and x.tag != "p"), 0)
+    taken, on_way = [way[top]], set(map(id, way))
+    for x in way[top + 1 :]:
+        taken += [k for k in x.kids if id(k) not in on_way and not k.mute and k.tag not in INLINE and k.density >= threshold and k.density > 0]
     return taken
 
 
@@ -221,7 +298,8 @@ def extract(page: str) -> str:
         held: list[str] = []
         for node, text, _ in [*texts[first:last], (body, None, False)]:
             if text is not None:
-                held.append(text)
+                if not node.mute:
+                    held.append(text)
             elif held:
                 if block := " ".join(html.unescape("".join(held)).split()):
                     blocks.append(block)
@@ -233,14 +311,16 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
     """One row per row of ``pages``: id, the columns ``keep``, text, n_chars (code points).
 
     Null html counts as empty; a page without text has an empty one. Null or repeated ids
-    keep their rows. Each page is one call, in time linear in its length. Other columns
+    keep their rows, and rows that repeat give the same. Of nodes with equal sums the first in
+    the page is taken. Each page is one call, in time linear in its length, however deep its
+    elements are. Other columns
     are ignored. An empty table gives an empty result.
     """
     require(pages, id_col, html_col, *keep)
     names = [id_col, *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
+        for x in slices(batches):
             found = [extract(t or "") for t in x.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*x.columns[1:], pa.array(found, pa.string()), pa.array(list(map(len, found)), pa.int64())], [*names, "text", "n_chars"])
 
