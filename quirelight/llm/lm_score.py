@@ -10,13 +10,16 @@ Counting, joining and summing are three relations over n-grams of all orders, ea
 64-bit hash:
 1. requests (chunk, n, part, grams with counts): documents are dealt to chunks, and a
    chunk's n-grams are exploded and counted before they travel;
-2. counts: the count table, partitioned into ranges of the hash. Each partition sums
-   the requests and is joined with them: a reply (chunk, n, part, totals);
+2. counts: the count table, partitioned into ``parts`` ranges of the hash. Each partition
+   sums the requests and is joined with them: a reply (chunk, n, part, totals);
 3. scores: replies meet their chunk's documents, and are summed for each document.
 
 A row of (1) and (2) holds a sorted run of n-grams as packed differences instead of one
-n-gram, which makes them several times smaller; the join is a merge of sorted runs.
-Numbers of chunks and parts follow the corpus, so that either is of bounded size.
+n-gram, which makes them several times smaller; the join is a merge of sorted runs. A
+chunk is of bounded size and has at most ``parts`` rows for each order, so rows grow with
+the input. Where a partition would outgrow ``part_bytes``, groups of chunks merge their
+requests first, split the partition's range further, and hand the totals back: each step
+then handles ``part_bytes`` at a time, at any size.
 """
 
 from __future__ import annotations
@@ -97,39 +100,90 @@ def _unpack(data: bytes, z: zstandard.ZstdDecompressor) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(8, -1).T).view("<u8").ravel()
 
 
-def _part_bounds(keys: np.ndarray, parts: int) -> np.ndarray:
-    """Where each of the equal ranges of hashes begins among sorted keys; and their end."""
-    low = np.array([(i << 64) // parts for i in range(parts)], dtype=np.uint64)
+def _bounds(keys: np.ndarray, pieces: int, of: int = 0, outer: int = 1) -> np.ndarray:
+    """Where each of ``pieces`` equal ranges of hashes begins among sorted keys, and their end.
+    They make up range number ``of`` of ``outer`` equal ones."""
+    low = np.array([((of * pieces + i) << 64) // (outer * pieces) for i in range(pieces)], dtype=np.uint64)
     return np.append(np.searchsorted(keys, low), len(keys))
 
 
-_REQUEST = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+def _split(keys: np.ndarray, counts: np.ndarray, at: np.ndarray, z) -> Iterator[tuple[int, bytes, bytes]]:
+    for p in np.flatnonzero(np.diff(at)):
+        run = slice(at[p], at[p + 1])
+        yield int(p), _pack(np.diff(keys[run], prepend=np.uint64(0)), z), _pack(counts[run], z)
+
+
+_REQUEST = {"chunk": pa.int32(), "n": pa.int32(), "part": pa.int32(), "grams": pa.binary(), "counts": pa.binary()}
+_MERGED = {"team": pa.int32(), "n": pa.int32(), "part": pa.int32(), "piece": pa.int32(), "grams": pa.binary(), "counts": pa.binary()}
+
+
+def _rows(rows: list[tuple], kinds: dict) -> pa.Table:
+    columns = list(zip(*rows)) or [()] * len(kinds)
+    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds.values())], list(kinds))
 
 
 def _requests(order: int, parts: int):
     def run(t: pa.Table) -> pa.Table:
         unz, z = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
         words, sizes = word_hashes([unz.decompress(d) for d in t["z"].to_pylist()])
-        rows = []
+        rows, chunk = [], t["chunk"][0].as_py()
         for n, grams in enumerate(gram_hashes(words, sizes, order), 1):
             keys, counts, _ = counted(grams, n == 1)
-            at = _part_bounds(keys, parts)
-            for p in np.flatnonzero(np.diff(at)):
-                run = slice(at[p], at[p + 1])
-                rows.append((t["chunk"][0].as_py(), n, int(p), _pack(np.diff(keys[run], prepend=np.uint64(0)), z), _pack(counts[run], z)))
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows), _REQUEST)], ["chunk", "n", "part", "grams", "counts"])
+            rows += [(chunk, n, *x) for x in _split(keys, counts, _bounds(keys, parts), z)]
+        return _rows(rows, _REQUEST)
 
     return run
 
 
-def _count_and_join(t: pa.Table) -> pa.Table:
-    unz, z = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
+def _summed(t: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(n-grams, their total counts, the places in them of each row's)."""
+    unz = zstandard.ZstdDecompressor()
     runs = [np.cumsum(_unpack(d, unz), dtype=np.uint64) for d in t["grams"].to_pylist()]
-    _, place = np.unique(np.concatenate(runs), return_inverse=True)
+    keys, place = np.unique(np.concatenate(runs), return_inverse=True)
     total = np.bincount(place, np.concatenate([_unpack(d, unz) for d in t["counts"].to_pylist()])).astype(np.uint64)
-    ends = np.cumsum([len(r) for r in runs])[:-1]
-    replies = [_pack(total[p], z) for p in np.split(place, ends)]
-    return pa.table({"chunk": t["chunk"], "n": t["n"], "part": t["part"], "totals": pa.array(replies, pa.binary())})
+    return keys, total, np.split(place, np.cumsum([len(r) for r in runs])[:-1])
+
+
+def _count_and_join(keep: list[str]):
+    def run(t: pa.Table) -> pa.Table:
+        z = zstandard.ZstdCompressor(level=1)
+        _, total, places = _summed(t)
+        return t.select(keep).append_column("totals", pa.array([_pack(total[p], z) for p in places], pa.binary()))
+
+    return run
+
+
+def _merge(parts: int, pieces: int):
+    """Requests of a team's chunks for a part -> one for each piece of its range."""
+
+    def run(t: pa.Table) -> pa.Table:
+        z = zstandard.ZstdCompressor(level=1)
+        keys, total, _ = _summed(t)
+        team, n, part = (t[c][0].as_py() for c in ("team", "n", "part"))
+        return _rows([(team, n, part, *x) for x in _split(keys, total, _bounds(keys, pieces, part, parts), z)], _MERGED)
+
+    return run
+
+
+def _hand_back(t: pa.Table, replies: pa.Table) -> pa.Table:
+    """A team's requests and the totals of their pieces -> replies to its chunks."""
+    unz, z = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
+    keys, _, places = _summed(t)
+    total = np.concatenate([np.empty(0, np.uint64), *(_unpack(d, unz) for d in replies.sort_by("piece")["totals"].to_pylist())])
+    if len(total) != len(keys):
+        raise ValueError("replies don't match the team's n-grams")
+    return t.select(["chunk", "n", "part"]).append_column("totals", pa.array([_pack(total[p], z) for p in places], pa.binary()))
+
+
+def _answered(requests: DataFrame, parts: int, teams: int) -> DataFrame:
+    """requests -> (chunk, n, part, totals)."""
+    if teams == 1:
+        return requests.groupBy("part", "n").applyInArrow(_count_and_join(["chunk", "n", "part"]), "chunk int, n int, part int, totals binary")
+    dealt = requests.withColumn("team", F.pmod(F.xxhash64("chunk"), F.lit(teams)).cast("int"))
+    group = ["team", "part", "n"]
+    merged = dealt.groupBy(*group).applyInArrow(_merge(parts, teams), "team int, n int, part int, piece int, grams binary, counts binary")
+    totals = merged.groupBy("part", "piece", "n").applyInArrow(_count_and_join(["team", "n", "part", "piece"]), "team int, n int, part int, piece int, totals binary")
+    return dealt.groupBy(*group).cogroup(totals.groupBy(*group)).applyInArrow(_hand_back, "chunk int, n int, part int, totals binary")
 
 
 def from_others(where: np.ndarray, totals: np.ndarray, document: np.ndarray) -> np.ndarray:
@@ -164,29 +218,30 @@ def _scores(order: int, backoff: float, names: list[str]):
                 seen = others > 0
                 score = np.where(seen, others / np.where(seen, before, 1), np.where(where >= 0, backoff * score, score))
             context = others
-        each = np.concatenate([[0.0], np.cumsum(np.log(score))])
-        ends = np.cumsum(sizes)
-        return pa.table([t["id"], pa.array(sizes.astype(np.int64)), pa.array(each[ends] - each[ends - sizes])], names)
+        each = np.bincount(document, np.log(score), minlength=len(sizes))
+        return pa.table([t["id"], pa.array(sizes.astype(np.int64)), pa.array(each)], names)
 
     return run
 
 
-def stupid_backoff(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3, backoff: float = 0.4, chunk_bytes: int = 10 << 20, part_bytes: int = 12 << 20) -> DataFrame:
+def stupid_backoff(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3, backoff: float = 0.4, chunk_bytes: int = 10 << 20, parts: int = 1024, part_bytes: int = 12 << 20) -> DataFrame:
     """One row per row of ``docs``: id, n_words, log_score, mean_log_score.
 
-    Null and empty texts have no words and score 0. Copies of a document count as other
-    documents. Null and repeated ids keep their rows. Other columns are ignored. An empty
-    table gives an empty result.
+    Null and empty texts have no words and score 0. A text is scored whole in one task,
+    however long. Copies of a document count as other documents. Null and repeated ids keep
+    their rows, and rows that repeat are dealt to chunks like others. Scores are sums, so
+    ties need no order. Other columns are ignored. An empty table gives an empty result.
     """
     require(docs, id_col, text_col)
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    chunks, parts = max(1, math.ceil(size / chunk_bytes)), max(1, math.ceil(size / part_bytes))
+    chunks, teams = max(1, math.ceil(size / chunk_bytes)), max(1, math.ceil(size / (parts * part_bytes)))
     kind = docs.schema[id_col].dataType.simpleString()
     names = ["z", "chunk", "id"]
-    rows = docs.select(F.col(text_col).alias("text"), F.pmod(F.xxhash64(id_col, text_col), F.lit(chunks)).cast("int").alias("chunk"), F.col(id_col).alias("id"))
+    chunk = F.pmod(F.xxhash64(id_col, text_col, F.monotonically_increasing_id()), F.lit(chunks)).cast("int")
+    rows = docs.select(F.col(text_col).alias("text"), chunk.alias("chunk"), F.col(id_col).alias("id"))
     packed = rows.mapInArrow(compress(names), f"z binary, chunk int, id {kind}")
     requests = packed.groupBy("chunk").applyInArrow(_requests(order, parts), "chunk int, n int, part int, grams binary, counts binary")
-    replies = requests.groupBy("part").applyInArrow(_count_and_join, "chunk int, n int, part int, totals binary")
+    replies = _answered(requests, parts, teams)
     out = [id_col, "n_words", "log_score"]
     scored = packed.groupBy("chunk").cogroup(replies.select(F.col("chunk").alias("of"), "n", "part", "totals").groupBy("of")).applyInArrow(_scores(order, backoff, out), f"`{id_col}` {kind}, n_words long, log_score double")
     return scored.withColumn("mean_log_score", F.col("log_score") / F.greatest(F.col("n_words"), F.lit(1)))
