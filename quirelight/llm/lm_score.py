@@ -218,7 +218,7 @@ def _scores(order: int, backoff: float, names: list[str]):
                 seen = others > 0
                 score = np.where(seen, others / np.where(seen, before, 1), np.where(where >= 0, backoff * score, score))
             context = others
-        each = np.bincount(document, np.log(score), minlength=len(sizes))
+        each = np.bincount(document, np.log(score), minlength=len(sizes)).astype(float)
         return pa.table([t["id"], pa.array(sizes.astype(np.int64)), pa.array(each)], names)
 
     return run
