@@ -2,7 +2,9 @@
 
 Equal vectors are merged first, so that one vector with a third of all rows is one node.
 Spherical k-means on a bounded sample gives cluster centres; every node joins the shards
-of its ``overlap`` nearest ones. In each shard a graph is built: every node gets edges to
+of its ``overlap`` nearest ones. A shard of more than twice ``shard_size`` nodes is split the
+same way, by centres of its own from a bounded sample of it, until none is, so that shards
+keep their size however many vectors there are. In each shard a graph is built: every node gets edges to
 near nodes and to far ones, each list robustly pruned (a candidate goes if a chosen one
 is closer to it, by ``alpha``, than the node is), and edges back. A node's lists from
 all its shards are united. Then every node is searched for from the shard's medoids:
@@ -12,9 +14,10 @@ Links found are verified in double precision.
 A pair that shares several shards is reported by the first of them only, so that counts
 add up without gathering pairs; for components a shard reports a spanning forest.
 
-Recall is audited: a sample of nodes is compared with all others in blocks. If fewer
-than ``least_recall`` of the links come back, the whole is built again with more overlap
-and a wider beam.
+Recall is audited: a sample of nodes is compared with all others in blocks. It is the mean
+over those that have links, so that a large cluster doesn't hide small ones. If it is less
+than ``least_recall``, the whole is built again with more overlap, a wider beam, and larger
+shards, which a dense cluster needs.
 """
 
 from __future__ import annotations
@@ -27,8 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import require, stage
+from .common import release, require, slices, stage, unless_large
 from .components import connected_components, stars
+from .hashing import mix
 
 _EXPANDED = 1_000_000  # edges followed at a time
 NEAR, FAR = 16, 8  # edges of either kind before edges back are added
@@ -85,8 +89,9 @@ def build(x: np.ndarray, alpha: float, seed: int) -> np.ndarray:
     if n < 2:
         return np.empty((0, 2), np.int64)
     r, parts = np.random.default_rng(seed), []
-    for low in range(0, n, 512):
-        rows = np.arange(low, min(n, low + 512))
+    width = max(16, min(512, 4_000_000 // n))
+    for low in range(0, n, width):
+        rows = np.arange(low, min(n, low + width))
         sim = x[rows] @ x.T
         sim[np.arange(len(rows)), rows] = -2
         k = min(3 * NEAR, n - 1)
@@ -118,22 +123,22 @@ def search(x: np.ndarray, edges: np.ndarray, radius: float, beam: int, medoids:
         score = np.full((len(q), n), -2.0)
         score[:, middle] = x[q] @ x[middle].T
         fresh = score.copy()  # of nodes seen and not expanded
-        active, step = np.arange(len(q)), 0
+        active, steps = np.arange(len(q)), np.zeros(len(q), np.int64)
         while len(active):
             best = fresh[active].argmax(1)
             top = fresh[active, best]
-            go = (top > -2) & ((step < beam) | (top >= radius))
+            go = (top > -2) & ((steps[active] < beam) | (top >= radius))
             active, best = active[go], best[go]
             if not len(active):
                 break
-            rows, nodes = active, best
-            if step >= beam:  # all in range at once
-                r, nodes = np.nonzero(fresh[active] >= radius)
-                rows = active[r]
+            late = steps[active] >= beam  # all in range at once
+            r, more = np.nonzero(fresh[active[late]] >= radius)
+            rows, nodes = np.concatenate([active[~late], active[late][r]]), np.concatenate([best[~late], more])
             sizes = start[nodes + 1] - start[nodes]
-            if sizes.sum() > _EXPANDED:  # the rest waits for the next steps
+            if sizes.sum() > _EXPANDED:  # the rest waits, and its steps with it
                 upto = max(1, int(np.searchsorted(np.cumsum(sizes), _EXPANDED)))
                 rows, nodes, sizes = rows[:upto], nodes[:upto], sizes[:upto]
+            steps[np.unique(rows)] += 1
             fresh[rows, nodes] = -2
             qs = np.repeat(rows, sizes)
             ns = to[np.repeat(start[nodes], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)]
@@ -142,7 +147,6 @@ def search(x: np.ndarray, edges: np.ndarray, radius: float, beam: int, medoids:
             qs, ns = flat // n, flat % n
             for part in np.array_split(np.arange(len(qs)), max(1, len(qs) // 100_000)):
                 score[qs[part], ns[part]] = fresh[qs[part], ns[part]] = np.einsum("ij,ij->i", x[q[qs[part]]], x[ns[part]])
-            step += 1
         a, b = np.nonzero(score >= radius)
         found.append(np.column_stack([q[a], b]))
     links = np.concatenate(found) if found else np.empty((0, 2), np.int64)
@@ -150,27 +154,78 @@ def search(x: np.ndarray, edges: np.ndarray, radius: float, beam: int, medoids:
     return np.unique(np.sort(links, 1), axis=0)
 
 
-def _assign(centre, dims: int, overlap: int, names: list[str]):
+def _nearest(x: np.ndarray, c: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, centre): the m nearest centres of each row."""
+    m = min(m, len(c))
+    sim = x @ c.T
+    top = np.argpartition(-sim, m - 1, 1)[:, :m] if m < len(c) else np.tile(np.arange(m), (len(x), 1))
+    return np.repeat(np.arange(len(x)), m), top.ravel()
+
+
+_DEALT = ["row", "n", "vector", "shard"]
+
+
+def _assign(centre, dims: int, overlap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = centre.value
-        m = min(overlap, len(c))
-        for b in batches:
-            if not b.num_rows:
-                continue
-            sim = _matrix(b.column(2), dims) @ c.T
-            top = np.argpartition(-sim, m - 1, 1)[:, :m] if m < len(c) else np.tile(np.arange(m), (b.num_rows, 1))
-            top = np.sort(top, 1)
-            row = np.repeat(np.arange(b.num_rows), m)
-            shards = pa.FixedSizeListArray.from_arrays(pa.array(top.ravel().astype(np.int32)), m).cast(pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*(col.take(pa.array(row)) for col in b.columns), shards.take(pa.array(row)), pa.array(top.ravel().astype(np.int32))], names)
+        for b in slices(batches, 2048):
+            row, shard = _nearest(_matrix(b.column(2), dims), centre.value, overlap)
+            yield pa.RecordBatch.from_arrays([*(col.take(pa.array(row)) for col in b.columns), pa.array(shard.astype(np.int64))], _DEALT)
+
+    return run
+
+
+def _own_centres(dims: int, shard_size: int):
+    """A sample of a shard -> its centres, as rows."""
+
+    def run(t: pa.Table) -> pa.Table:
+        x = _matrix(t["vector"], dims)
+        c = centres(x, min(len(x), max(4, min(math.ceil(2 * t["many"][0].as_py() / shard_size), len(x) // 8))))
+        return pa.table({"shard": pa.array([t["shard"][0].as_py()] * len(c), pa.int64()), "centre": pa.array(list(c), pa.list_(pa.float64()))})
 
     return run
 
 
+def _reassign(dims: int):
+    """(part of a shard, its centres) -> the same nodes in two of the shards it is split into."""
+
+    def run(t: pa.Table, c: pa.Table) -> pa.Table:
+        kinds = pa.schema([("row", pa.int64()), ("n", pa.int64()), ("vector", pa.list_(pa.float64())), ("shard", pa.int64())])
+        if not t.num_rows:
+            return kinds.empty_table()
+        row, of = _nearest(_matrix(t["vector"], dims), _matrix(c["centre"], dims), 2)
+        name = mix(np.uint64(t["shard"][0].as_py() & (1 << 63) - 1) + (of + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(1)
+        new = t.select(_DEALT[:3]).take(pa.array(row)).append_column("shard", pa.array(name.astype(np.int64)))
+        return new.cast(kinds)
+
+    return run
+
+
+def _split(dealt: DataFrame, dims: int, shard_size: int, sample: int) -> DataFrame:
+    """Shards of more than twice ``shard_size`` nodes become several, until there are none, or
+    none that gets smaller."""
+    last = None
+    while True:
+        sizes = dealt.groupBy("shard").agg(F.count("*").alias("many"))
+        over = stage(sizes.where(F.col("many") > 2 * shard_size), "overfull")
+        most = over.agg(F.max("many")).first()[0]
+        if most is None or last is not None and most > 0.9 * last:
+            return dealt
+        last = most
+        large = dealt.join(unless_large(over), "shard")
+        some = large.where(F.pmod(F.xxhash64("row", "shard", F.lit(6)), F.lit(1 << 30)) < F.lit(float(1 << 30)) * sample / F.col("many"))
+        own = stage(some.groupBy("shard").applyInArrow(_own_centres(dims, shard_size), "shard long, centre array<double>"), "centres")
+        parts = F.ceil(F.col("many") / sample).cast("int")  # a task holds a part of a shard
+        part = large.withColumn("part", F.pmod(F.xxhash64("row", F.lit(8)), parts).cast("int")).select(*_DEALT, "part")
+        copied = own.join(unless_large(over), "shard").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).select("shard", "part", "centre")
+        again = part.groupBy("shard", "part").cogroup(copied.groupBy("shard", "part")).applyInArrow(_reassign(dims), "row long, n long, vector array<double>, shard long")
+        rest = dealt.join(unless_large(over), "shard", "left_anti").select(_DEALT)
+        dealt = stage(rest.unionByName(again.distinct()), "dealt", [dealt, over, own])
+
+
 def _graph(dims: int, alpha: float):
     def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by("rep")
-        rep = t["rep"].to_numpy()
+        t = t.sort_by("row")
+        rep = t["row"].to_numpy()
         edges = build(_matrix(t["vector"], dims), alpha, t["shard"][0].as_py())
         ends = np.searchsorted(edges[:, 0], np.arange(len(rep) + 1)).astype(np.int32)
         return pa.table({"a": rep, "b": pa.ListArray.from_arrays(pa.array(ends), pa.array(rep[edges[:, 1]]))})
@@ -182,20 +237,25 @@ def _links(dims: int, radius: float, beam: int):
     """(nodes of a shard, lists that end in it) -> counts and a spanning forest."""
 
     def run(t: pa.Table, lists: pa.Table) -> pa.Table:
-        t = t.sort_by("rep")
-        rep, n, x = t["rep"].to_numpy(), t["n"].to_numpy(), _matrix(t["vector"], dims)
+        t = t.sort_by("row")
+        rep, n, x = t["row"].to_numpy(), t["n"].to_numpy(), _matrix(t["vector"], dims)
         shard = t["shard"][0].as_py()
         to = lists["b"].combine_chunks()
         edges = np.column_stack([np.repeat(lists["a"].to_numpy(), np.diff(to.offsets.to_numpy())), to.flatten().to_numpy()])
         at = np.searchsorted(rep, edges)
         inside = (rep[np.minimum(at, len(rep) - 1)] == edges).all(1)
         pairs = search(x, np.unique(at[inside], axis=0).reshape(-1, 2), radius, beam)
-        m = len(t["shards"][0])
-        mine = t["shards"].combine_chunks().flatten().to_numpy().reshape(-1, m)
-        shared = (mine[pairs[:, 0]][:, :, None] == mine[pairs[:, 1]][:, None, :]).any(2)
-        first = mine[pairs[:, 0], shared.argmax(1)] if len(pairs) else np.empty(0)
         forest = stars(rep[pairs])
-        pairs = pairs[first == shard]
+        lists_of = t["shards"].combine_chunks()
+        many = np.diff(lists_of.offsets.to_numpy())
+        mine = np.full((len(t), many.max()), -1)
+        mine[np.arange(many.max()) < many[:, None]] = lists_of.flatten().to_numpy()
+        first = [np.empty(0, np.int64)]
+        for part in np.array_split(pairs, max(1, len(pairs) // 100_000)):
+            a, b = mine[part[:, 0]], mine[part[:, 1]]
+            shared = ((a[:, :, None] == b[:, None, :]) & (a[:, :, None] >= 0)).any(2)
+            first.append(a[np.arange(len(part)), shared.argmax(1)])
+        pairs = pairs[np.concatenate(first) == shard]
         count = np.bincount(pairs[:, 0], n[pairs[:, 1]], len(rep)) + np.bincount(pairs[:, 1], n[pairs[:, 0]], len(rep))
         some = np.flatnonzero(count)
         size = len(some) + len(forest)
@@ -216,10 +276,10 @@ def _audited(queries, ids: np.ndarray, dims: int, radius: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = queries.value
         total = np.zeros(len(ids), np.int64)
-        for b in batches:
+        for b in slices(batches, 4096):
             near = (q @ _matrix(b.column(2), dims).T >= radius) & (ids[:, None] != b.column(0).to_numpy()[None])
             total += near @ b.column(1).to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], ["rep", "true_links"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], ["row", "true_links"])
 
     return run
 
@@ -236,9 +296,10 @@ def near_duplicates(
 
     Vectors that are null, empty, zero, or hold a null or non-finite component link with
     nothing. Vectors of unequal length are compared as if zeros were added to the shorter.
-    Rows that repeat a vector link with each other, and those that repeat an id too. Null
-    ids link, but name no component. Other columns are ignored. An empty table gives an
-    empty result.
+    Rows that repeat a vector link with each other; rows that repeat an id are rows like any
+    other. Null ids link, but name no component: component_id is null where no other id is in
+    reach. Ties in cosine need no order. ``recall`` is null where no audited vector has a
+    link. Other columns are ignored. An empty table gives an empty result.
     """
     require(vectors, id_col, vector_col)
     spark = vectors.sparkSession
@@ -246,46 +307,51 @@ def near_duplicates(
     usable = F.forall(value, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(value, lambda v: v != 0)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.when(usable, value).alias("vector"))
     key = [F.xxhash64("vector").alias("h1"), F.xxhash64(F.lit(1), "vector").alias("h2")]
-    nodes = rows.where("vector IS NOT NULL").groupBy("vector").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("rep IS NOT NULL")
-    nodes = stage(nodes.select("rep", "n", "vector", *key), "nodes")
+    nodes = rows.where("vector IS NOT NULL").groupBy("vector").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
+    nodes = stage(nodes.select(F.monotonically_increasing_id().alias("row"), "rep", "n", "vector", *key), "nodes")
     many, dims = nodes.agg(F.count("*"), F.max(F.size("vector"))).first()
     found, recall = None, None
     if many:
-        hashed = lambda seed, most: F.pmod(F.xxhash64("rep", F.lit(seed)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, most / many))
-        sample = _matrix(pa.array(nodes.where(hashed(3, max_sample)).select("rep", "vector").toPandas().sort_values("rep")["vector"].map(list).tolist(), pa.list_(pa.float64())), dims)
-        audit = nodes.where(hashed(4, audit_sample)).select("rep", "vector").toPandas()
+        hashed = lambda seed, most: F.pmod(F.xxhash64("h1", F.lit(seed)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, most / many))
+        matrix_of = lambda df: _matrix(pa.array(df.toPandas().sort_values("row")["vector"].map(list).tolist(), pa.list_(pa.float64())), dims)
+        sample = matrix_of(nodes.where(hashed(3, max_sample)).select("row", "vector"))
+        audit = nodes.where(hashed(4, audit_sample)).select("row", "vector")
+        ids = np.sort(audit.select("row").toPandas()["row"].to_numpy())
         truth = None
-        if len(audit):
-            ids = audit["rep"].to_numpy()
-            queries = spark.sparkContext.broadcast(_matrix(pa.array(audit["vector"].map(list).tolist(), pa.list_(pa.float64())), dims))
-            truth = nodes.select("rep", "n", "vector").mapInArrow(_audited(queries, ids, dims, radius), "rep long, true_links long").groupBy("rep").agg(F.sum("true_links").alias("true_links"))
-            truth = stage(truth, "audit")
+        if len(ids):
+            queries = spark.sparkContext.broadcast(matrix_of(audit))  # bounded by audit_sample
+            truth = nodes.select("row", "n", "vector").mapInArrow(_audited(queries, ids, dims, radius), "row long, true_links long").groupBy("row").agg(F.sum("true_links").alias("true_links"))
+            truth = stage(truth.where("true_links > 0"), "audit")
         k = max(1, min(math.ceil(many * overlap / shard_size), len(sample) // 8))
         centre = spark.sparkContext.broadcast(centres(sample, k) if len(sample) else np.ones((1, dims)))  # bounded by max_sample
         while True:
-            names = ["rep", "n", "vector", "shards", "shard"]
-            dealt = stage(nodes.select("rep", "n", "vector").mapInArrow(_assign(centre, dims, overlap, names), "rep long, n long, vector array<double>, shards array<int>, shard int"), "dealt")
+            dealt = stage(nodes.select("row", "n", "vector").mapInArrow(_assign(centre, dims, overlap), "row long, n long, vector array<double>, shard long"), "dealt")
+            split = _split(dealt, dims, shard_size, 2000)
+            shards = split.groupBy("row").agg(F.sort_array(F.collect_set("shard")).alias("shards"))  # of one node
+            dealt = stage(split.join(shards, "row"), "dealt", [split])
             lists = dealt.groupBy("shard").applyInArrow(_graph(dims, alpha), "a long, b array<long>")
-            edges = stage(lists.groupBy("a").agg(F.array_distinct(F.flatten(F.collect_list("b"))).alias("b")), "graph")  # of `overlap` shards
-            united = dealt.select(F.col("rep").alias("a"), F.col("shard").alias("of")).join(edges, "a")
+            edges = stage(lists.groupBy("a").agg(F.array_distinct(F.flatten(F.collect_list("b"))).alias("b")), "graph")  # of a node's shards
+            united = dealt.select(F.col("row").alias("a"), F.col("shard").alias("of")).join(edges, "a")
             both = dealt.groupBy("shard").cogroup(united.groupBy("of")).applyInArrow(_links(dims, radius, beam), "a long, b long, links long")
-            found = stage(both, "links")
+            found = stage(both, "links", [dealt, edges])
             if truth is None:
                 break
             got = found.groupBy("a").agg(F.sum("links").alias("links"))
-            hit, all_ = truth.join(got, truth["rep"] == got["a"], "left").agg(F.sum(F.coalesce("links", F.lit(0))), F.sum("true_links")).first()
-            recall = hit / all_ if all_ else 1.0
-            if recall >= least_recall or overlap >= len(centre.value):
+            recall = truth.join(got, truth["row"] == got["a"], "left").agg(F.avg(F.least(F.lit(1.0), F.coalesce("links", F.lit(0)) / F.col("true_links")))).first()[0]
+            if recall is None or recall >= least_recall or overlap >= len(centre.value) and shard_size >= many:
                 break
-            overlap, beam = min(2 * overlap, len(centre.value)), 2 * beam
+            overlap, beam, shard_size = min(2 * overlap, len(centre.value)), 2 * beam, 4 * shard_size
+            release(found)
     if found is None:
         found = spark.createDataFrame([], "a long, b long, links long")
-    counts = found.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
-    groups = connected_components(found.where("b IS NOT NULL").select("a", "b")).withColumnRenamed("id", "rep")
-    classes = nodes.select("rep", "n", "h1", "h2").join(counts, "rep", "left").join(groups, "rep", "left")
-    classes = stage(classes.select("h1", "h2", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "classes")
+    counts = found.groupBy(F.col("a").alias("row")).agg(F.sum("links").alias("links"))
+    groups = connected_components(found.where("b IS NOT NULL").select("a", "b")).withColumnRenamed("id", "row")
+    joined = nodes.select("row", "rep", "n", "h1", "h2").join(counts, "row", "left").join(groups, "row", "left")
+    joined = stage(joined.select("h1", "h2", "rep", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "row").alias("component")), "joined")
+    least = stage(joined.groupBy("component").agg(F.min("rep").alias("component_id")), "least")
+    classes = stage(joined.join(least, "component").select("h1", "h2", "n_links", "component_id", F.lit(True).alias("known")), "classes", [joined, least])
     out = rows.select("id", *[F.when(F.col("vector").isNotNull(), x).alias(n) for x, n in zip(key, ("h1", "h2"))]).join(classes, ["h1", "h2"], "left")
-    component = F.coalesce("component_id", "id")
+    component = F.when(F.col("known"), F.col("component_id")).otherwise(F.col("id"))
     return out.select(
         F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
         F.col("id").eqNullSafe(component).alias("kept"), F.lit(recall).cast("double").alias("recall"),

@@ -1,7 +1,8 @@
 import math
 
 import numpy as np
-from quirelight.llm.embedding_dedup import build, near_duplicates, robust_prune, search
+from quirelight.llm.common import stage
+from quirelight.llm.embedding_dedup import _split, build, near_duplicates, robust_prune, search
 
 
 def vectors():
@@ -50,3 +51,25 @@ def test_against_all_pairs(spark):
     assert len(found & want) >= 0.95 * len(want)
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) and r["recall"] >= 0.95 for r in got)
     assert near_duplicates(df.where("false")).collect() == []
+
+
+def test_null_ids_link(spark):
+    rows = [(1, [1.0, 0.0]), (None, [1.0, 0.01]), (2, [1.0, 0.02]), (None, [0.0, 1.0]), (None, None), (7, [-1.0, 0.0]), (7, [0.0, -1.0])]
+    got = near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    want = [(1, 2, 1), (None, 2, 1), (2, 2, 1), (None, 0, None), (None, 0, None), (7, 0, 7), (7, 0, 7)]
+    assert sorted(str((r["vec_id"], r["n_links"], r["component_id"])) for r in got) == sorted(map(str, want))
+
+
+def test_overfull_shards_are_split(spark):
+    r = np.random.default_rng(9)
+    x = r.normal(size=(3000, 8))
+    x[:600] = x[0] + r.normal(size=(600, 8)) * 0.2  # one dense cluster
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    dealt = stage(spark.createDataFrame([(i, 1, v.tolist(), 0) for i, v in enumerate(x)], "row long, n long, vector array<double>, shard long"), "dealt")
+    got = _split(dealt, 8, 200, 500)
+    assert got.groupBy("shard").count().agg({"count": "max"}).first()[0] <= 400
+    assert got.select("row").distinct().count() == 3000
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    found = near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), shard_size=150, max_sample=200).collect()
+    links = (x @ x.T >= 0.9).sum(1) - 1
+    assert sum(r["n_links"] for r in found) >= 0.9 * links.sum() and all(r["n_links"] <= links[r["vec_id"]] for r in found)
