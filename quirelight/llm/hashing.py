@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,6 +48,14 @@ class Hashes:
         return mix((self.sum[b] - self.sum[a]) * self.up[a] + (b - a).astype(np.uint64) * np.uint64(0xFF51AFD7ED558CCD))
 
 
+def give_back() -> None:
+    """Memory that this process has freed goes back to the machine, not to its heap only:
+    workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # of the GNU library only
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def texts_of(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import require
-from .hashing import Hashes, compress, mix
+from .hashing import Hashes, compress, give_back, mix
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -130,6 +130,8 @@ def _requests(order: int, parts: int):
         for n, grams in enumerate(gram_hashes(words, sizes, order), 1):
             keys, counts, _ = counted(grams, n == 1)
             rows += [(chunk, n, *x) for x in _split(keys, counts, _bounds(keys, parts), z)]
+            del keys, counts, _
+            give_back()
         return _rows(rows, _REQUEST)
 
     return run
@@ -189,9 +191,16 @@ def _answered(requests: DataFrame, parts: int, teams: int) -> DataFrame:
 def from_others(where: np.ndarray, totals: np.ndarray, document: np.ndarray) -> np.ndarray:
     """For each word, how often other documents have its n-gram; 0 where it has none."""
     has = np.flatnonzero(where >= 0)
-    _, same, own = np.unique(document[has].astype(np.int64) * len(totals) + where[has], return_inverse=True, return_counts=True)
     out = np.zeros(len(where))
-    out[has] = totals[where[has]].astype(float) - own[same]
+    if len(has):
+        key = document[has].astype(np.int64) * len(totals) + where[has]
+        order = np.argsort(key, kind="stable").astype(np.int32)
+        key = key[order]
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        own = np.repeat(np.diff(np.r_[first, len(key)]), np.diff(np.r_[first, len(key)]))
+        del key
+        at = has[order]
+        out[at] = totals[where[at]].astype(float) - own
     return out
 
 
@@ -199,6 +208,8 @@ def _scores(order: int, backoff: float, names: list[str]):
     def run(t: pa.Table, replies: pa.Table) -> pa.Table:
         unz = zstandard.ZstdDecompressor()
         words, sizes = word_hashes([unz.decompress(d) for d in t["z"].to_pylist()])
+        ids = t["id"]
+        del t
         document = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         replies = replies.sort_by("part")
         score, context = None, None
@@ -218,8 +229,10 @@ def _scores(order: int, backoff: float, names: list[str]):
                 seen = others > 0
                 score = np.where(seen, others / np.where(seen, before, 1), np.where(where >= 0, backoff * score, score))
             context = others
+            del where, totals, others, mine, grams
+            give_back()
         each = np.bincount(document, np.log(score), minlength=len(sizes)).astype(float)
-        return pa.table([t["id"], pa.array(sizes.astype(np.int64)), pa.array(each)], names)
+        return pa.table([ids, pa.array(sizes.astype(np.int64)), pa.array(each)], names)
 
     return run
 

@@ -8,8 +8,8 @@ piece goes to the tightest bin that has room and neither its source nor its clus
 the search takes the successor of the piece's size among the residuals, and goes on to
 the next bin while bitmaps conflict. Only if no open bin is compatible a new one opens.
 
-Pieces are dealt to groups of about ``group_size`` by a hash of id and piece, so that a
-source or cluster with a third of all rows is spread like the rest, and each group is
+Pieces are dealt to groups of about ``group_size`` by a hash of row and piece, so that a
+source, cluster or id with a third of all rows is spread like the rest, and each group is
 packed by itself. No text is moved: ids, sizes and two hashes are.
 """
 
@@ -96,7 +96,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
         F.when(F.col(source_col).isNotNull(), F.xxhash64(source_col)).alias("source"),
         F.when(~absent & (F.length(text) > 0), cluster).alias("cluster"),
     )
-    pieces = rows.withColumn("piece", F.explode(F.sequence(F.lit(0), F.expr(f"cast((size - 1) div {capacity} as int)"))))
+    pieces = rows.withColumn("row", F.monotonically_increasing_id()).withColumn("piece", F.explode(F.sequence(F.lit(0), F.expr(f"cast((size - 1) div {capacity} as int)"))))
     pieces = pieces.withColumn("start", F.col("piece").cast("long") * capacity).withColumn("n", F.least(F.lit(capacity), F.col("size") - F.col("start")).cast("int")).drop("size")
     pieces = stage(pieces, "pieces")
     groups = max(1, math.ceil(pieces.count() / group_size))
@@ -114,6 +114,6 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
         number = (t["grp"].to_numpy() << 32) + np.array(bins, np.int64)
         return pa.table({"id": t["id"], "piece": t["piece"], "start": t["start"], "n_bytes": t["n"], "bin": number, "position": pa.array(position, pa.int32()), "offset": pa.array(offsets, pa.int32())})
 
-    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("id", "piece"), F.lit(groups)))
+    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("row", "piece"), F.lit(groups))).drop("row")
     packed = dealt.groupBy("grp").applyInArrow(run, f"id {kind}, piece int, start long, n_bytes int, bin long, position int, offset int")
     return packed.withColumnRenamed("id", id_col)

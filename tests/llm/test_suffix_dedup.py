@@ -65,7 +65,7 @@ def test_remove_repeats(spark, most_reaches, passage):
     rows = [(i, t, "x", 1) for i, t in enumerate(texts)] + [(3, texts[3], "x", 1), (None, "q" * 10, "x", 1), (None, texts[0], "x", 1)]
     want = sorted(zip((str(r[0]) for r in rows), plain([r[1] for r in rows], 40)))
     df = spark.createDataFrame(rows, "doc_id long, text string, z string, b int")
-    gram = {"gram": 20} if passage is None else {"passage": passage, "gram": 12}
+    gram = {"gram": 20} if passage is None else {"passage": passage}
     got = remove_repeats(df, length=40, keep=["z"], block_bytes=3000, most_reaches=most_reaches, **gram).collect()
     assert sorted((str(x["doc_id"]), tuple(x[c] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256"))) for x in got) == want
     for x in got:
@@ -78,13 +78,13 @@ def test_remove_repeats(spark, most_reaches, passage):
 def test_pieces_of_long_texts(monkeypatch):
     r = np.random.default_rng(2)
     texts = [bytes(r.choice(list(b"abcd"), n).astype(np.uint8)) for n in (5000, 10, 39, 40, 41, 700, 0, 3000)]
-    whole = [set(zip(*(c.tolist() for c in suffix_dedup.anchors([t], 40, 25, 12)))) for t in texts]
+    whole = [set(zip(*(c.tolist() for c in suffix_dedup.anchors([t], 25, 12)))) for t in texts]
     monkeypatch.setattr(suffix_dedup, "_BLOCK", 200)
-    got = [set(zip(*(c.tolist() for c in suffix_dedup.anchors([t], 40, 25, 12)))) for t in texts]
+    got = [set(zip(*(c.tolist() for c in suffix_dedup.anchors([t], 25, 12)))) for t in texts]
     assert got == whole and all(w for t, w in zip(texts, whole) if len(t) >= 25)
-    together = set(zip(*(c.tolist() for c in suffix_dedup.anchors(texts, 40, 25, 12))))
+    together = set(zip(*(c.tolist() for c in suffix_dedup.anchors(texts, 25, 12))))
     assert together == {(i, *a[1:]) for i, w in enumerate(whole) for a in w}
-    assert {a[:3] for a in together} == set(zip(*(c.tolist() for c in suffix_dedup.anchors(texts, 40, 25, 12, False))))
+    assert {a[:3] for a in together} == set(zip(*(c.tolist() for c in suffix_dedup.anchors(texts, 25, 12, False))))
 
 
 def test_least_words(spark):
