@@ -29,9 +29,11 @@ def _power(base: int, n: int) -> np.ndarray:
 
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection that spreads every bit over all."""
+    h = h ^ (h >> np.uint64(32))
     for _ in range(2):
-        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(32))
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(32)
+    return h
 
 
 class Hashes:
@@ -44,6 +46,13 @@ class Hashes:
         self.sum = np.zeros(len(x) + 1, np.uint64)
         np.cumsum(_TABLES[which][x] * _power(pow(base, -1, 1 << 64), len(x) + 1)[: len(x)], out=self.sum[1:])
 
+    def windows(self, width: int) -> np.ndarray:
+        """Of all substrings of a width, in order."""
+        h = self.sum[width:] - self.sum[:-width]
+        h *= self.up[: len(h)]
+        h += np.uint64(width * 0xFF51AFD7ED558CCD & (1 << 64) - 1)
+        return mix(h)
+
     def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return mix((self.sum[b] - self.sum[a]) * self.up[a] + (b - a).astype(np.uint64) * np.uint64(0xFF51AFD7ED558CCD))
 

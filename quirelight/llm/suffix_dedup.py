@@ -56,14 +56,21 @@ def _slide(x: np.ndarray, width: int, op) -> np.ndarray:
     return op(back[: n - width + 1], onward[width - 1 : n])
 
 
-def _least_of_some(h: np.ndarray, room: int, valid: np.ndarray) -> np.ndarray:
-    """Whether a gram has the least hash in one of the valid strings, whose grams are ``room`` + 1."""
+def _least_of_some(h: np.ndarray, room: int, ends: np.ndarray) -> np.ndarray:
+    """Whether a gram has the least hash in one of the strings, whose grams are ``room`` + 1.
+    ends: the strings that begin here lie in no text."""
     least = np.zeros(len(h) + room, np.uint64)
-    if len(valid):
-        least[room : room + len(valid)] = np.where(valid, _slide(h, room + 1, np.minimum), 0)
+    least[room : len(h)] = _slide(h, room + 1, np.minimum)
+    least[room + ends] = 0
     return _slide(least, room + 1, np.maximum) == h
 
 
+def _before(ends: np.ndarray, size: int, below: int) -> np.ndarray:
+    """Where what has ``size`` bytes would cross one of the ends."""
+    at = (ends[:, None] - np.arange(1, size)).ravel()
+    return at[(at >= 0) & (at < below)]
+
+
 def _pieces(texts: list[bytes], length: int) -> Iterator[list[tuple[int, int, int, int, int]]]:
     """Lists of pieces (text, begin, end, first gram to report, end of these) of about _BLOCK
     bytes each: short texts together, long ones cut, with ``length`` bytes more on either side."""
@@ -90,21 +97,20 @@ def anchors(texts: list[bytes], length: int, gram: int, reaches: bool = True) ->
         if len(x) < length:
             continue
         text, low, high, first, last = np.array(pieces).T
-        base = np.cumsum(high - low) - (high - low)
-        piece = np.repeat(np.arange(len(pieces)), high - low)
-        end = (base + high - low)[piece]  # of the piece, for each byte
-        start = np.arange(len(x) - gram + 1)
-        inside = start + gram <= end[start]
-        h = np.where(inside, Hashes(x, 0)(start, start + gram), ~np.uint64(0))
-        windows = np.arange(len(x) - length + 1)
-        pos = np.flatnonzero(_least_of_some(h, room, windows + length <= end[windows]) & inside)
-        of = piece[pos]
+        end = np.cumsum(high - low)
+        base = end - (high - low)
+        h = Hashes(x, 0).windows(gram)
+        h[_before(end, gram, len(h))] = ~np.uint64(0)
+        pos = np.flatnonzero(_least_of_some(h, room, _before(end, length, len(h) - room)))
+        of = np.searchsorted(end, pos, "right")
+        inside = pos + gram <= end[of]
+        pos, of = pos[inside], of[inside]
         own = pos - base[of] + low[of]
         mine = (own >= first[of]) & (own < last[of])
         pos, of, own = pos[mine], of[mine], own[mine]
         found = [text[of], own, h[pos].view(np.int64)]
         if reaches:
-            a, b = np.maximum(pos - room, base[of]), np.minimum(pos + length, end[pos])
+            a, b = np.maximum(pos - room, base[of]), np.minimum(pos + length, end[of])
             found.append((Hashes(x, 1)(a, b) + (pos - a).astype(np.uint64)).view(np.int64))
         out.append(found)
     if not out:
