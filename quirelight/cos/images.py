@@ -6,7 +6,7 @@ import struct
 
 import numpy as np
 
-from ..functions.images import DARK, LIGHT, LUMINANCE, POOR_FIT
+from ..functions.images import DARK, LIGHT, qualities
 from .objects import Name
 
 
@@ -90,13 +90,6 @@ def luminance_table(jpeg: bytes) -> list[int] | None:
 
 
 def estimate_quality(jpeg: bytes) -> int:
-    """The quality whose standard table is nearest, the lowest on ties; -1 if none is near
-    or there is no table. The same rule as functions.images.estimate_quality."""
+    """``functions.images.qualities`` of a file's table; -1 if there is none."""
     table = luminance_table(jpeg)
-    if table is None:
-        return -1
-    q = np.arange(1, 101)[:, None]
-    scale = np.where(q < 50, 5000 // q, 200 - 2 * q)
-    want = np.clip((np.array(LUMINANCE)[None] * scale + 50) // 100, 1, 255)
-    error = np.abs(np.array(table)[None] - want).sum(1)
-    return -1 if error.min() > POOR_FIT else int(error.argmin()) + 1
+    return -1 if table is None else int(qualities(np.array([table]))[0])

@@ -40,15 +40,14 @@ _OTHERS = {
     "dong": 0x20AB, "Euro": 0x20AC, "trademark": 0x2122, "minus": 0x2212, "fi": 0xFB01, "fl": 0xFB02,
 }
 _ACCENTS = {0x300: "grave", 0x301: "acute", 0x302: "circumflex", 0x303: "tilde", 0x304: "macron", 0x306: "breve", 0x307: "dotaccent", 0x308: "dieresis", 0x30A: "ring", 0x30B: "hungarumlaut", 0x30C: "caron", 0x328: "ogonek"}
-_ACCENTED = (range(0xC0, 0x11C), range(0x11E, 0x124), range(0x130, 0x131), range(0x139, 0x162), range(0x164, 0x168), range(0x16A, 0x174), range(0x178, 0x17F))
 
 
 def glyph_names() -> dict[str, int]:
-    """Names of the supported subset. Accented letters get theirs by rule."""
+    """Names of the supported subset. Accented letters of Latin-1 and Latin Extended-A get theirs by rule."""
     names = {n: start + i for start, line in zip(_STARTS, _NAMES) for i, n in enumerate(line.split())} | _OTHERS
-    for code in (c for r in _ACCENTED for c in r):
+    for code in range(0xC0, 0x180):
         parts = unicodedata.decomposition(chr(code)).split()
-        if len(parts) == 2 and (letter := int(parts[0], 16)) < 0x80:
+        if len(parts) == 2 and parts[0] != "<compat>" and (letter := int(parts[0], 16)) < 0x80:
             mark = int(parts[1], 16)
             accent = ("cedilla" if chr(letter) in "CcSs" else "commaaccent") if mark == 0x327 else _ACCENTS.get(mark)
             if accent:

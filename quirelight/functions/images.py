@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,19 +39,29 @@ def target_size(width: Column, height: Column, drawn_w: Column, drawn_h: Column,
     return dpi, F.when(go, w).otherwise(width).cast("long"), F.when(go, h).otherwise(height).cast("long")
 
 
-def quality_error(table: Column, q: Column) -> Column:
-    """How far a quantisation table (64 numbers, row by row) is from the standard's at quality q."""
-    scale = F.when(q < 50, F.floor(F.lit(5000) / q)).otherwise(200 - 2 * q)
-    base = F.array(*map(F.lit, LUMINANCE))
-    want = lambda b: F.greatest(F.lit(1), F.least(F.lit(255), F.floor((b * scale + 50) / 100)))
-    return F.aggregate(F.zip_with(table, base, lambda x, b: F.abs(x - want(b))), F.lit(0).cast("long"), lambda a, x: a + x)
+def qualities(tables: np.ndarray) -> np.ndarray:
+    """Of quantisation tables (rows of 64 numbers): the quality whose standard table is nearest,
+    the lowest on ties; -1 if none is near."""
+    q = np.arange(1, 101)[:, None]
+    want = np.clip((np.array(LUMINANCE)[None] * np.where(q < 50, 5000 // q, 200 - 2 * q) + 50) // 100, 1, 255)
+    out = np.empty(len(tables), np.int32)
+    for at in range(0, len(tables), 256):
+        error = np.abs(tables[at : at + 256, None] - want[None]).sum(2)
+        out[at : at + 256] = np.where(error.min(1) > POOR_FIT, -1, error.argmin(1) + 1)
+    return out
 
 
 def estimate_quality(table: Column) -> Column:
-    """The quality whose table is nearest, the lowest on ties; -1 if none is near."""
-    each = F.transform(F.sequence(F.lit(1), F.lit(100)), lambda q: F.struct(quality_error(table, q).alias("error"), q.alias("q")))
-    best = F.array_min(each)
-    return F.when(best["error"] > POOR_FIT, -1).otherwise(best["q"])
+    """``qualities`` of an array column, a batch at a time; null for null."""
+
+    def each(tables: pd.Series) -> pd.Series:
+        known = tables.notna()
+        out = pd.Series(None, index=tables.index, dtype="Int32")
+        if known.any():
+            out[known] = qualities(np.array(tables[known].tolist(), np.int64).reshape(-1, 64))
+        return out
+
+    return F.pandas_udf(each, "int")(table)
 
 
 def is_bitonal(pixels: Column) -> Column:

@@ -256,7 +256,7 @@ _TABLE = "least(255, greatest(1, (b * (CASE WHEN q0 < 50 THEN 5000 // q0 ELSE 20
 _QT = f"(SELECT unnest({list(images.LUMINANCE)}) AS b, generate_subscripts({list(images.LUMINANCE)}, 1) - 1 AS i)"
 
 
-@query(f"""WITH x AS (SELECT c_custkey, i, b, {_TABLE} AS v FROM (SELECT c_custkey, 1 + c_custkey % 100 AS q0 FROM customer WHERE c_custkey % 7 = 0), {_QT}),
+@query(f"""WITH x AS (SELECT c_custkey, i, b, {_TABLE} AS v FROM (SELECT c_custkey, 1 + c_custkey % 100 AS q0 FROM customer), {_QT}),
            e AS (SELECT c_custkey, q, sum(abs(v - least(255, greatest(1, (b * (CASE WHEN q < 50 THEN 5000 // q ELSE 200 - 2 * q END) + 50) // 100))))::BIGINT AS error
                  FROM x, generate_series(1, 100) AS s(q) GROUP BY c_custkey, q)
            SELECT c_custkey, CASE WHEN min(error) > 128 THEN -1 ELSE arg_min(q, (error, q)) END::INT AS quality FROM e GROUP BY c_custkey""")
@@ -264,7 +264,7 @@ def jpeg_quality_estimate(t):
     q0 = 1 + c("c_custkey") % 100
     scale = F.when(q0 < 50, F.floor(5000 / q0)).otherwise(200 - 2 * q0)
     table = F.transform(F.array(*map(F.lit, images.LUMINANCE)), lambda b, i: F.greatest(F.lit(1), F.least(F.lit(255), F.floor((b * scale + 50) / 100))) + F.when(i == c("c_custkey") % 64, c("c_custkey") % 300).otherwise(0))
-    return t("customer").where("c_custkey % 7 = 0").select("c_custkey", images.estimate_quality(table).cast("int").alias("quality"))
+    return t("customer").select("c_custkey", images.estimate_quality(table).cast("int").alias("quality"))
 
 
 @query("""SELECT l_orderkey, bool_and(l_partkey % 8 = CASE WHEN l_orderkey % 3 = 0 THEN l_partkey % 8 ELSE l_suppkey % 8 END) AS is_gray FROM lineitem GROUP BY l_orderkey""")
@@ -287,9 +287,9 @@ def bitonal_detect(t):
 
 
 @query(f"""SELECT vec_id, r.r AS row_no, list_sum(list_transform(generate_series(1, 8), lambda i: CASE WHEN px[r.r * 8 + i] >= 224 THEN 1 << (8 - i) ELSE 0 END))::INT AS byte
-           FROM (SELECT vec_id, {_PIX} AS px FROM embeddings WHERE vec_id % 4 = 0), generate_series(0, 7) AS r(r)""")
+           FROM (SELECT vec_id, {_PIX} AS px FROM embeddings), generate_series(0, 7) AS r(r) WHERE len(list_filter(px, lambda v: v > 32 AND v < 224)) = 0""")
 def bitonal_pack(t):
-    rows = t("embeddings").where("vec_id % 4 = 0").select("vec_id", _pixels().alias("px"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("r"))
+    rows = t("embeddings").where(images.is_bitonal(_pixels())).select("vec_id", _pixels().alias("px"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("r"))
     return rows.select("vec_id", c("r").cast("long").alias("row_no"), images.pack_row(F.slice("px", c("r") * 8 + 1, 8)).alias("byte"))
 
 
@@ -363,16 +363,23 @@ def strip_keys(t):
     return kept.select("event_id", F.when(c("gone").isNull(), F.get_json_object("props", "$.k")).alias("k"))
 
 
-def _values(of) -> str:
-    return ", ".join(f"({i}, {of(i)})" for i in range(256))
+# fixed values: codes 128 to 159 of code page 1252, and 128 to 255 of Mac OS Roman
+_CP1252 = [
+    8364, 129, 8218, 402, 8222, 8230, 8224, 8225, 710, 8240, 352, 8249, 338, 141, 381, 143,
+    144, 8216, 8217, 8220, 8221, 8226, 8211, 8212, 732, 8482, 353, 8250, 339, 157, 382, 376,
+]
+_MAC = (
+    "ÄÅÇÉÑÖÜáàâäãåçéèêëíìîïñóòôöõúùûü†°¢£§•¶ß®©™´¨≠ÆØ∞±≤≥¥µ∂∑∏π∫ªºΩæø"
+    "¿¡¬√ƒ≈∆«»…\u00a0ÀÃÕŒœ–—“”‘’÷◊ÿŸ⁄€‹›ﬁﬂ‡·‚„‰ÂÊÁËÈÍÎÏÌÓÔ\uf8ffÒÚÛÙıˆ˜¯˘˙˚¸˝˛ˇ"
+)
 
 
-@query(f"SELECT event_id, u AS unicode FROM events JOIN (VALUES {_values(encodings.winansi)}) v(k, u) ON k = event_id % 256")
+@query(f"SELECT event_id, CASE WHEN event_id % 256 BETWEEN 128 AND 159 THEN {_CP1252}[event_id % 256 - 127] ELSE event_id % 256 END::INT AS unicode FROM events")
 def winansi_decode(t):
     return encodings.decode_codes(t("events").select("event_id", (c("event_id") % 256).cast("int").alias("code")), "WinAnsiEncoding").select("event_id", "unicode")
 
 
-@query(f"SELECT event_id, u AS unicode FROM events JOIN (VALUES {_values(encodings.macroman)}) v(k, u) ON k = event_id % 256")
+@query(f"SELECT event_id, CASE WHEN event_id % 256 > 127 THEN unicode(substr('{_MAC}', (event_id % 256 - 127)::INT, 1)) ELSE event_id % 256 END::INT AS unicode FROM events")
 def macroman_decode(t):
     return encodings.decode_codes(t("events").select("event_id", (c("event_id") % 256).cast("int").alias("code")), "MacRomanEncoding").select("event_id", "unicode")
 
