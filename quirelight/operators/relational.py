@@ -9,12 +9,15 @@ from ..staging import stage
 
 
 def canonical(objects: DataFrame, payload: list[str], order: str, within: list[str] | None = None) -> DataFrame:
-    """Rows plus ``canon``: the first row's ``order`` among equal payloads. Groups by the
-    payload itself (so hash collisions can't merge) with a partial minimum, then joins."""
-    keys = [*(within or []), *payload]
-    firsts = objects.groupBy(*keys).agg(F.min(order).alias("canon"))
-    cond = [objects[k].eqNullSafe(firsts[k]) for k in keys]
-    return objects.join(firsts, cond, "left").select(objects["*"], firsts["canon"])
+    """Rows plus ``canon``: the first row's ``order`` among equal payloads. Texts and binaries
+    are compared by length and SHA-256, and don't travel for it: groups merge with a partial
+    minimum, and rows meet their group's by its key, which joins may split if it is common."""
+    kinds = dict(objects.dtypes)
+    digest = lambda k: F.struct(F.octet_length(k), F.sha2(F.col(k).cast("binary"), 256)) if kinds[k] in ("string", "binary") else F.col(k)
+    parts = [digest(k) for k in [*(within or []), *payload]]
+    keyed = objects.withColumn("_key", F.sha2(F.to_json(F.struct(*[p.alias(f"k{i}") for i, p in enumerate(parts)])), 256))
+    firsts = keyed.groupBy("_key").agg(F.min(order).alias("canon"))
+    return keyed.join(firsts, "_key", "left").drop("_key").select(*objects.columns, "canon")
 
 
 def rewrite(references: DataFrame, canon: DataFrame, target: str, key: str, to: str) -> DataFrame:

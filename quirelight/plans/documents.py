@@ -16,11 +16,11 @@ def _pdfs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pdf_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text shown by the pages of the rewritten files."""
     done = api.compress(_pdfs(spark, sf_dir)).select("doc_id", F.col("output").alias("content"))
-    shown = pdf.table(done, "content_ops", ["seq", "op", "operands"]).where("op = 'Tj'")
+    shown = pdf.table(done, "content_ops", ["seq", "op", "operands"]).where("op IN ('BT', 'Tj')")  # each page has a BT, texts that are empty too
     # an operand is (text) or <hexadecimal digits>
-    t = F.element_at("operands", -1)
+    t = F.get("operands", F.size("operands") - 1)
     raw = F.when(F.startswith(t, F.lit("<")), F.unhex(F.substring(t, F.lit(2), F.length(t) - 2))).otherwise(F.encode(F.substring(t, F.lit(2), F.length(t) - 2), "ISO-8859-1"))
-    per = shown.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", F.hex(raw).alias("h")))).alias("x"))
+    per = shown.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.when(F.col("op") == "Tj", F.struct("seq", F.hex(raw).alias("h"))))).alias("x"))
     text = F.decode(F.unhex(F.array_join(F.transform("x", lambda v: v["h"]), "")), "UTF-8")
     return per.select("doc_id", F.length(text).cast("long").alias("len"), F.md5(F.encode(text, "UTF-8")).alias("md5"))
 
@@ -45,7 +45,8 @@ def pdf_strip_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pdf_unreferenced(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _pdfs(spark, sf_dir)
-    found = api.unreferenced(pdf.table(files, "objects", ["obj"]), pdf.table(files, "edges", ["src_obj", "dst_obj"]))
+    """Objects that a file's trailer doesn't reach, found where the file is read."""
+    found = pdf.table(files, "unreferenced", ["obj"])
     return found.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("obj").cast("int").alias("obj"))
 
 
@@ -59,7 +60,7 @@ def queries():
 
 def oracle_sql():
     return {
-        "pdf_roundtrip": "SELECT doc_id, length(text) AS len, md5(text) AS md5 FROM documents WHERE text <> ''",
+        "pdf_roundtrip": "SELECT doc_id, length(coalesce(text, '')) AS len, md5(coalesce(text, '')) AS md5 FROM documents",
         "pdf_dedup_objects": "SELECT doc_id // 50 AS part, count(DISTINCT text) AS streams FROM documents GROUP BY ALL",
         "pdf_strip_metadata": "SELECT doc_id, doc_id % 2 = 0 AS had_info, false AS has_info FROM documents",
         "pdf_unreferenced": "SELECT doc_id, 1 AS n, 6::INT AS obj FROM documents",

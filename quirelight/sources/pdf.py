@@ -26,6 +26,11 @@ BATCH = 16  # documents taken from Arrow at a time; files may be large
 def read_pdfs(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, path, length, content) of all files *.pdf under a path. doc_id is a hash of
     the path, the same in every run."""
+    if not path:
+        raise ValueError("a path is asked for")
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p):
+        raise FileNotFoundError(path)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", "true").load(path)
     return files.select(F.xxhash64("path").alias("doc_id"), "path", "length", "content")
 
@@ -120,6 +125,11 @@ def _drawn(doc: Document) -> Iterator[tuple]:
             yield i, name, w, h
 
 
+def _unreferenced(doc: Document) -> Iterator[tuple]:
+    reached = set(doc.reachable())
+    return ((r.num, r.gen) for r in doc.objects if r not in reached)
+
+
 TABLES: dict[str, tuple[Callable[[Document], Iterator[tuple]], str]] = {
     "objects": (_objects, "obj int, gen int, ord int, kind string, value string, stream_len long, raw binary, filter string, decode_parms string"),
     "edges": (_edges, "src_obj int, src_gen int, path array<string>, depth int, dst_obj int, dst_gen int"),
@@ -130,6 +140,7 @@ TABLES: dict[str, tuple[Callable[[Document], Iterator[tuple]], str]] = {
     "annots": (_annots, "page_no int, idx int, subtype string, flags int, ft string, rect array<double>, ap_obj int, action_s string, has_aa boolean"),
     "content_ops": (_ops, "owner_kind string, owner_obj int, page_no int, seq long, op string, operands array<string>"),
     "drawn": (_drawn, "page_no int, name string, width double, height double"),
+    "unreferenced": (_unreferenced, "obj int, gen int"),
     "status": (lambda doc: [(doc.status, len(doc.objects), len(doc.pages()))], "status string, n_objects int, n_pages int"),
 }
 
