@@ -11,17 +11,20 @@ import numpy as np
 from .objects import Name, PdfError
 
 IMAGE_CODECS = {"/DCTDecode", "/DCT", "/JPXDecode", "/JBIG2Decode", "/CCITTFaxDecode", "/CCF"}
-MOST = 1 << 30  # bytes a stream may decode to
+MOST = 1 << 28  # bytes a stream may decode to; one that would give more can't be decoded
 
 
 def flate(data: bytes) -> bytes:
     """What can be decoded; damaged or cut data gives what precedes the damage."""
     for wbits in (15, -15):
         d = zlib.decompressobj(wbits)
-        out = []
+        out, left = [], MOST
         try:
             for at in range(0, len(data), 1 << 16):
-                out.append(d.decompress(data[at : at + (1 << 16)], MOST))
+                out.append(d.decompress(data[at : at + (1 << 16)], left + 1))
+                left -= len(out[-1])
+                if left < 0:
+                    raise PdfError("a stream is too large")
             return b"".join(out)
         except zlib.error:
             if out and any(out):

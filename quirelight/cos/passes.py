@@ -581,7 +581,7 @@ PASSES: list[tuple[str, Callable[[Document, Options], int]]] = [
 
 def compress(data: bytes, o: Options = Options()) -> tuple[bytes | None, str, dict[str, int]]:
     """(file, status, edits by pass). status: ok, repaired, encrypted, empty, not_pdf or failed;
-    a pass that fails on a document is noted with -1 and leaves the others to run."""
+    a pass that fails on a document is noted with -1, changes nothing, and leaves the others to run."""
     if not data:
         return None, "empty", {}
     try:
@@ -590,12 +590,18 @@ def compress(data: bytes, o: Options = Options()) -> tuple[bytes | None, str, di
         return None, "not_pdf", {}
     if doc.status == "encrypted":
         return None, "encrypted", {}
-    edits = {}
-    for name, f in PASSES:
-        try:
-            edits[name] = f(doc, o)
-        except (PdfError, ValueError, KeyError, IndexError, TypeError, AttributeError, RecursionError, struct.error, OverflowError):
-            edits[name] = -1
+    edits: dict[str, int] = {}
+    again = True
+    while again:  # a pass that fails may have changed something, so the file is read again, and the pass left out
+        again, left_out = False, [k for k, n in edits.items() if n < 0]
+        for name, f in PASSES:
+            try:
+                edits[name] = -1 if name in left_out else f(doc, o)
+            except (PdfError, ValueError, KeyError, IndexError, TypeError, AttributeError, RecursionError, struct.error, OverflowError):
+                edits = {k: -1 for k in [*left_out, name]}
+                doc, again = Document.read(data), True
+                break
+    edits = {name: edits[name] for name, _ in PASSES}
     try:
         return doc.write(data), doc.status, edits
     except (PdfError, ValueError, TypeError, RecursionError):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -53,6 +54,40 @@ def write_files(done: DataFrame, path: str) -> None:
     done.where("output IS NOT NULL").select("doc_id", "output").write.parquet(path)
 
 
+def write_pdfs(done: DataFrame, path: str) -> DataFrame:
+    """A file ``<doc_id>.pdf`` for each output, in a folder that all executors reach (a path, or
+    a URI that Arrow knows). Returns doc_id, path, bytes, error (null if it was written; also
+    said for documents without output). A file is written under another name first, so that a
+    repeated task replaces it whole. Raises if the path is empty."""
+    if not path:
+        raise ValueError("a path is asked for")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        files, folder = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+        for x in (b.slice(i, pdf.BATCH) for b in batches for i in range(0, b.num_rows, pdf.BATCH)):
+            names, sizes, errors = [], [], []
+            for doc_id, status, data in zip(*(x.column(i).to_pylist() for i in range(3))):
+                name, error = f"{folder.rstrip('/')}/{doc_id}.pdf", None if data is not None else status
+                if data is not None:
+                    try:
+                        files.create_dir(folder, recursive=True)
+                        part = f"{name}.{uuid.uuid4().hex}.part"
+                        with files.open_output_stream(part) as out:
+                            out.write(data)
+                        files.move(part, name)
+                    except OSError as e:
+                        error = str(e)
+                names.append(None if error else name)
+                sizes.append(0 if error else len(data))
+                errors.append(error)
+            yield pa.RecordBatch.from_arrays([x.column(0), pa.array(names, pa.string()), pa.array(sizes, pa.int64()), pa.array(errors, pa.string())], ["doc_id", "path", "bytes", "error"])
+
+    kind = done.schema["doc_id"].dataType.simpleString()
+    return done.select("doc_id", "status", "output").mapInArrow(run, f"doc_id {kind}, path string, bytes long, error string")
+
+
 def concurrency(spark: SparkSession, n: int | None = None) -> int:
     """The number of partitions that shuffles use; sets it if given, 0 for all cores."""
     if n is not None:

@@ -340,3 +340,32 @@ def test_pixels():
     assert images.cmyk_to_rgb(bytes([0, 255, 100, 51])) == bytes([204, 0, 124])
     assert images.bilinear(bytes([0, 100, 200, 50]), 2, 2, 1, 1, 1) == b"\0"
     assert images.bilinear(bytes(range(9)), 3, 3, 1, 2, 2) == bytes([0, 2, 5, 6])
+
+
+def test_a_pass_that_fails_changes_nothing(monkeypatch):
+    from quirelight.cos import passes
+    from quirelight.sources.synthetic import of_texts
+
+    def half(doc, o):
+        for x in doc.objects.values():
+            if isinstance(x, dict):
+                x["/Spoilt"] = 1
+        raise ValueError
+
+    data = of_texts(["one", "two"], True, False)
+    want = passes.compress(data)
+    monkeypatch.setattr(passes, "PASSES", [*passes.PASSES[:3], ("half", half), *passes.PASSES[3:]])
+    got = passes.compress(data)
+    assert got[0] == want[0] and got[2] == want[2] | {"half": -1} and b"Spoilt" not in got[0]
+
+
+def test_a_stream_that_is_too_large(monkeypatch):
+    import zlib
+
+    from quirelight.cos import filters
+    from quirelight.cos.objects import PdfError
+
+    monkeypatch.setattr(filters, "MOST", 100_000)
+    assert len(filters.flate(zlib.compress(bytes(100_000)))) == 100_000
+    with pytest.raises(PdfError):
+        filters.flate(zlib.compress(bytes(200_000_000)))

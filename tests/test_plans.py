@@ -26,7 +26,7 @@ def pdfs(spark):
 
 def test_tables(pdfs):
     counts = {t: pdf.table(pdfs, t).where("doc_id = 1").count() for t in pdf.TABLES}
-    assert counts == {"objects": 11, "edges": 13, "pages": 3, "page_resources": 1 * 3 + 0, "images": 0, "fonts": 1, "annots": 0, "content_ops": 12, "drawn": 0, "status": 1}
+    assert counts == {"objects": 11, "edges": 13, "pages": 3, "page_resources": 1 * 3 + 0, "images": 0, "fonts": 1, "annots": 0, "content_ops": 12, "drawn": 0, "unreferenced": 1, "status": 1}
     got = {r["doc_id"]: r["status"] for r in pdf.table(pdfs, "status").collect()}
     assert got == {1: "ok", 2: "ok", 3: "not_pdf", 4: "not_pdf", 5: "ok"}
 
@@ -76,3 +76,23 @@ def test_concurrency(spark):
     for bad in (-1, 1.5, "2", True):
         with pytest.raises(TypeError):
             api.concurrency(spark, bad)
+
+
+def test_write_pdfs(spark, tmp_path):
+    rows = [(1, "ok", b"%PDF one"), (2, "not_pdf", None), (None, "ok", b"%PDF two")]
+    done = spark.createDataFrame(rows, "doc_id long, status string, output binary")
+    for _ in range(2):  # a task that runs again
+        got = {r["doc_id"]: (r["bytes"], r["error"]) for r in api.write_pdfs(done, f"{tmp_path}/out").collect()}
+    assert got == {1: (8, None), 2: (0, "not_pdf"), None: (8, None)}
+    assert {p.name: p.read_bytes() for p in (tmp_path / "out").iterdir()} == {"1.pdf": b"%PDF one", "None.pdf": b"%PDF two"}
+    (tmp_path / "file").write_text("x")
+    assert [r["error"] is not None for r in api.write_pdfs(done.where("doc_id = 1"), f"{tmp_path}/file").collect()] == [True]
+    with pytest.raises(ValueError):
+        api.write_pdfs(done, "")
+
+
+def test_paths_of_sources(spark, tmp_path):
+    with pytest.raises(ValueError):
+        pdf.read_pdfs(spark, "")
+    with pytest.raises(FileNotFoundError):
+        pdf.read_pdfs(spark, f"{tmp_path}/nowhere")
