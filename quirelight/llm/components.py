@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,21 +32,33 @@ def stars(pairs: np.ndarray) -> np.ndarray:
     return np.column_stack([ids[own], ids[root[own]]])
 
 
+_HELD = 1 << 19  # links that a task holds
+
+
 def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    held, fresh = np.empty((0, 2), np.int64), []
     for x in batches:
-        yield pd.DataFrame(stars(x[["a", "b"]].to_numpy(np.int64)), columns=["a", "b"])
+        fresh.append(x[["a", "b"]].to_numpy(np.int64))
+        if sum(map(len, fresh)) >= max(_HELD >> 3, len(held)):
+            held, fresh = stars(np.concatenate([held, *fresh])), []
+            if len(held) >= _HELD:
+                yield pd.DataFrame(held, columns=["a", "b"])
+                held = held[:0]
+    yield pd.DataFrame(stars(np.concatenate([held, *fresh])), columns=["a", "b"])
 
 
 def connected_components(links: DataFrame) -> DataFrame:
     """links: a, b (longs). Returns (id, component): a row for each id that has a link,
     component being the least id that links reach.
 
-    Every batch of links is first contracted to stars where it lies. Large-star and
+    Links are first contracted to stars where they lie, in few tasks. Large-star and
     small-star rounds follow until nothing changes: log^2 of the longest path at most,
     a few in practice. Minima merge before the shuffle and joins may split a hot id.
     Each round is a written table. Links from an id to itself are allowed. Nulls are not.
     """
-    star = stage(links.select("a", "b").mapInPandas(_contract, "a long, b long").distinct(), "links")  # a > b
+    links = stage(links.select("a", "b"), "links")
+    few = links.coalesce(max(1, math.ceil(links.count() / _HELD)))  # no shuffle: a task reads several parts
+    star = stage(few.mapInPandas(_contract, "a long, b long").distinct(), "stars", [links])  # a > b
     state = None
     while True:
         both = star.unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
