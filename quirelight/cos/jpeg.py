@@ -1,17 +1,20 @@
-"""A baseline JPEG codec in NumPy, and a lossless rewrite with the best Huffman tables.
+"""A JPEG codec, baseline and progressive, and a lossless rewrite with the best Huffman tables.
 
-The entropy code is read and written symbol by symbol; coefficients are what both ends
-share. Progressive, arithmetic and 12-bit files are left to others: ValueError.
+The entropy code is read and written symbol by symbol, read through tables of 16 bits;
+coefficients are what both ends share. Arithmetic and 12-bit files are left to others: ValueError.
 """
 
 from __future__ import annotations
 
 import heapq
 import struct
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 
 from ..functions.images import LUMINANCE
+from .filters import filters_of
 from .images import zigzag
 
 _ZIG = zigzag()
@@ -41,22 +44,16 @@ class Image:
         for c in comps:
             c.blocks = np.zeros((self.rows * c.v, self.cols * c.h, 64), np.int32)
 
-    def order(self):
-        """(component number, block) in the order of an interleaved scan; after each unit None."""
-        if len(self.comps) == 1:
-            c = self.comps[0]
-            for y in range(-(-self.height // 8)):
-                for x in range(-(-self.width // 8)):
-                    yield 0, c.blocks[y, x]
-                    yield None
+    def units(self, chosen: list[int]):
+        """The blocks of each unit of a scan: lists of (component number, row, column)."""
+        if len(chosen) == 1:
+            c = self.comps[chosen[0]]
+            high, wide = -(-self.height * c.v // (8 * self.vmax)), -(-self.width * c.h // (8 * self.hmax))
+            yield from ([(chosen[0], y, x)] for y in range(high) for x in range(wide))
             return
         for my in range(self.rows):
             for mx in range(self.cols):
-                for i, c in enumerate(self.comps):
-                    for v in range(c.v):
-                        for h in range(c.h):
-                            yield i, c.blocks[my * c.v + v, mx * c.h + h]
-                yield None
+                yield [(i, my * self.comps[i].v + v, mx * self.comps[i].h + h) for i in chosen for v in range(self.comps[i].v) for h in range(self.comps[i].h)]
 
     def pixels(self) -> bytes:
         """Interleaved samples of the components as stored; colour is not converted."""
@@ -84,45 +81,174 @@ def _codes(counts: bytes, symbols: bytes) -> dict[tuple[int, int], int]:
     return out
 
 
+@lru_cache(64)
+def _lookup(counts: bytes, symbols: bytes) -> list[int]:
+    """For each 16 bits, length << 8 | symbol of the code that they begin with; 0 if none."""
+    codes = sorted(_codes(counts, symbols).items(), key=lambda x: x[0][1] << (16 - x[0][0]))
+    found = np.repeat([length << 8 | s for (length, _), s in codes], [1 << (16 - length) for (length, _), _ in codes])
+    if len(found) > 1 << 16:
+        raise ValueError("too many codes")
+    return found.tolist() + [0] * ((1 << 16) - len(found))
+
+
 class _Bits:
+    """Bits of a run of the scan. What lies beyond its end reads as zeros; ``check`` tells."""
+
     def __init__(self, data: bytes):
         self.data, self.at, self.held, self.count = data, 0, 0, 0
 
-    def bit(self) -> int:
-        if not self.count:
-            if self.at >= len(self.data):
-                raise ValueError("the scan ends early")
-            self.held, self.count = self.data[self.at], 8
-            self.at += 1
-        self.count -= 1
-        return self.held >> self.count & 1
+    def _more(self) -> None:
+        part = self.data[self.at : self.at + 6]
+        self.at += 6
+        self.held = self.held << 48 | int.from_bytes(part.ljust(6, b"\0"), "big")
+        self.count += 48
 
     def bits(self, n: int) -> int:
-        v = 0
-        for _ in range(n):
-            v = v << 1 | self.bit()
+        if self.count < n:
+            self._more()
+        self.count -= n
+        v = self.held >> self.count
+        self.held &= (1 << self.count) - 1
         return v
 
-    def symbol(self, table: dict) -> int:
-        code = 0
-        for length in range(1, 17):
-            code = code << 1 | self.bit()
-            if (s := table.get((length, code))) is not None:
-                return s
-        raise ValueError("not a code")
+    def symbol(self, table: list[int]) -> int:
+        if self.count < 16:
+            self._more()
+        found = table[self.held >> (self.count - 16)]
+        if not found:
+            raise ValueError("not a code")
+        self.count -= found >> 8
+        self.held &= (1 << self.count) - 1
+        return found & 255
 
     def value(self, size: int) -> int:
         v = self.bits(size)
         return v if not size or v >> (size - 1) else v - (1 << size) + 1
 
+    def check(self) -> None:
+        if 8 * self.at - self.count > 8 * len(self.data):
+            raise ValueError("the scan ends early")
+
+
+def _sequential(bits: _Bits, block: list[int], ac: list[int], first: int, last: int, shift: int, run: int) -> int:
+    """AC coefficients first to last of a block; blocks that end here, this one left out."""
+    if run:
+        return run - 1
+    k = first
+    while k <= last:
+        s = bits.symbol(ac)
+        zeros, size = s >> 4, s & 15
+        if not size:
+            if zeros < 15:
+                return (1 << zeros) - 1 + bits.bits(zeros)
+            k += 16
+            continue
+        k += zeros
+        if k > last:
+            raise ValueError("a block is too long")
+        block[k] = bits.value(size) << shift
+        k += 1
+    return 0
+
+
+def _refined(bits: _Bits, block: list[int], ac: list[int], first: int, last: int, shift: int, run: int) -> int:
+    """One more bit of coefficients that are there, and new ones of that size."""
+    k, one = first, 1 << shift
+
+    def pass_over(zeros: int) -> int:
+        """The place of the zero coefficient after so many; those between are refined."""
+        nonlocal k
+        while k <= last:
+            v = block[k]
+            if v:
+                if bits.bits(1) and not abs(v) & one:
+                    block[k] = v + one if v > 0 else v - one
+            elif zeros:
+                zeros -= 1
+            else:
+                break
+            k += 1
+        return k
+
+    while not run and k <= last:
+        s = bits.symbol(ac)
+        zeros, new = s >> 4, 0
+        if s & 15:
+            new = one if bits.bits(1) else -one
+        elif zeros < 15:
+            run = (1 << zeros) + bits.bits(zeros)
+            break
+        at = pass_over(zeros)
+        if new:
+            if at > last:
+                raise ValueError("a block is too long")
+            block[at] = new
+        k += 1
+    if run:
+        pass_over(64)
+        run -= 1
+    return run
+
+
+def _runs(data: bytes, at: int) -> tuple[list[bytes], int]:
+    """The parts of a scan between restart markers, and where the next marker is."""
+    out, low = [], at
+    while True:
+        stop = data.find(b"\xff", low)
+        while stop >= 0 and data[stop + 1 : stop + 2] == b"\0":
+            stop = data.find(b"\xff", stop + 2)
+        if stop < 0 or stop + 1 >= len(data):
+            raise ValueError("the scan ends early")
+        out.append(data[at:stop].replace(b"\xff\0", b"\xff"))
+        if not 0xD0 <= data[stop + 1] <= 0xD7:
+            return out, stop
+        at = low = stop + 2
+
+
+def _scan(image: Image, body: bytes, runs: list[bytes], huffman: dict, blocks: list[list[list[list[int]]]], progressive: bool) -> None:
+    n, known = body[0], [c.id for c in image.comps]
+    chosen = [known.index(body[1 + 2 * i]) for i in range(n)]
+    first, last, high, low = body[1 + 2 * n], body[2 + 2 * n], body[3 + 2 * n] >> 4, body[3 + 2 * n] & 15
+    if not progressive:
+        first, last, high, low = 0, 63, 0, 0
+    if not n or first > last or last > 63 or first and n > 1:
+        raise ValueError("unsupported scan")
+    with_dc, with_ac = first == 0, last > 0
+    dc = {i: huffman[body[2 + 2 * k] >> 4] for k, i in enumerate(chosen)} if with_dc and not high else {}
+    ac = {i: huffman[16 | body[2 + 2 * k] & 15] for k, i in enumerate(chosen)} if with_ac else {}
+    more = _refined if high else _sequential
+    bits, before, at, ended = _Bits(runs[0]), [0] * len(known), 0, 0
+    for u, unit in enumerate(image.units(chosen)):
+        if image.restart and u and u % image.restart == 0:
+            at += 1
+            if at >= len(runs):
+                raise ValueError("a restart marker is missing")
+            bits.check()
+            bits, before, ended = _Bits(runs[at]), [0] * len(known), 0
+        for i, y, x in unit:
+            block = blocks[i][y][x]
+            if with_dc and high:
+                block[0] |= bits.bits(1) << low
+            elif with_dc:
+                before[i] += bits.value(bits.symbol(dc[i]))
+                block[0] = before[i] << low
+            if with_ac:
+                ended = more(bits, block, ac[i], max(1, first), last, low, ended)
+        if u % 64 == 0:
+            bits.check()
+    bits.check()
+
 
 def read(data: bytes) -> Image:
     if data[:2] != b"\xff\xd8":
         raise ValueError("not a JPEG file")
-    at, tables, huffman, markers, image, restart = 2, {}, {}, [], None, 0
+    at, tables, huffman, markers, image, restart, blocks = 2, {}, {}, [], None, 0, []
+    progressive, scans = False, 0
     while True:
         while data[at : at + 2] == b"\xff\xff":
             at += 1
+        if data[at : at + 2] == b"\xff\xd9" and scans:
+            break
         if at + 4 > len(data) or data[at] != 0xFF:
             raise ValueError("no marker where one should be")
         mark, size = data[at + 1], struct.unpack_from(">H", data, at + 2)[0]
@@ -139,66 +265,36 @@ def read(data: bytes) -> Image:
             low = 0
             while low < len(body):
                 n = sum(body[low + 1 : low + 17])
-                huffman[body[low]] = _codes(body[low + 1 : low + 17], body[low + 17 : low + 17 + n])
+                huffman[body[low]] = _lookup(body[low + 1 : low + 17], body[low + 17 : low + 17 + n])
                 low += 17 + n
-        elif mark in (0xC0, 0xC1):
+        elif mark in (0xC0, 0xC1, 0xC2):
             bits, height, width, n = struct.unpack_from(">BHHB", body)
-            if bits != 8 or not width or not height or not 1 <= n <= 4:
+            if image or bits != 8 or not width or not height or not 1 <= n <= 4:
                 raise ValueError("unsupported frame")
             comps = [Component(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(n)]
-            if any(not (1 <= c.h <= 4 and 1 <= c.v <= 4 and c.table in tables) for c in comps):
+            if any(not (1 <= c.h <= 4 and 1 <= c.v <= 4) for c in comps) or sum(c.h * c.v for c in comps) > 10 and n > 1:
+                raise ValueError("unsupported frame")
+            image, progressive = Image(width, height, comps, tables, markers), mark == 0xC2
+            if any(image.hmax % c.h or image.vmax % c.v for c in comps):
                 raise ValueError("unsupported frame")
-            image = Image(width, height, comps, tables, markers)
-        elif 0xC2 <= mark <= 0xCF:
-            raise ValueError("only baseline files are supported")
+            blocks = [[[[0] * 64 for _ in range(c.blocks.shape[1])] for _ in range(c.blocks.shape[0])] for c in comps]
+        elif 0xC3 <= mark <= 0xCF:
+            raise ValueError("only Huffman-coded 8-bit files are supported")
         elif mark == 0xDD:
             restart = struct.unpack_from(">H", body)[0]
         elif mark == 0xDA:
-            break
+            if image is None:
+                raise ValueError("a scan without a frame")
+            runs, at = _runs(data, at)
+            image.restart = restart
+            _scan(image, body, runs, huffman, blocks, progressive)
+            scans += 1
         elif 0xE0 <= mark <= 0xEF:
             markers.append(b"\xff" + bytes([mark]) + struct.pack(">H", size) + body)
-    if image is None or body[0] != len(image.comps):
-        raise ValueError("unsupported scan")
-    image.tables, image.restart = tables, restart
-    use = [(huffman[body[2 + 2 * i] >> 4], huffman[16 | body[2 + 2 * i] & 15]) for i in range(len(image.comps))]
-    runs, low = [], at
-    while True:  # between restart markers
-        stop = data.find(b"\xff", low)
-        while stop >= 0 and data[stop + 1 : stop + 2] == b"\0":
-            stop = data.find(b"\xff", stop + 2)
-        if stop < 0:
-            raise ValueError("the scan ends early")
-        runs.append(data[at:stop].replace(b"\xff\0", b"\xff"))
-        if not 0xD0 <= data[stop + 1] <= 0xD7:
-            break
-        at = low = stop + 2
-    if data[stop + 1 : stop + 2] != b"\xd9":
-        raise ValueError("more than one scan")
-    bits, before, units, run = _Bits(runs[0]), [0] * len(use), 0, 0
-    for item in image.order():
-        if item is None:
-            units += 1
-            if restart and units % restart == 0 and run + 1 < len(runs):
-                run += 1
-                bits, before = _Bits(runs[run]), [0] * len(use)
-            continue
-        i, block = item
-        dc, ac = use[i]
-        before[i] += bits.value(bits.symbol(dc))
-        block[0] = before[i]
-        k = 1
-        while k < 64:
-            s = bits.symbol(ac)
-            k += s >> 4
-            if not s & 15:
-                if s != 0xF0:
-                    break
-                k += 1
-                continue
-            if k > 63:
-                raise ValueError("a block is too long")
-            block[k] = bits.value(s & 15)
-            k += 1
+    if any(c.table not in tables for c in image.comps):
+        raise ValueError("a table is missing")
+    for c, found in zip(image.comps, blocks):
+        c.blocks = np.array(found, np.int32)
     return image
 
 
@@ -230,48 +326,78 @@ def _best_lengths(counts: dict[int, int]) -> tuple[bytes, bytes]:
     return bytes(of[1:17]), bytes(symbols)
 
 
-def write(image: Image) -> bytes:
-    """A baseline file with Huffman tables made for its coefficients, without restarts."""
-    kinds = [0 if i == 0 else 1 for i in range(len(image.comps))]
-    symbols: list[tuple[int, int, int, int]] = []  # table, symbol, extra bits, their number
-    before = [0] * len(kinds)
-    for item in image.order():
-        if item is None:
-            continue
-        i, block = item
-        diff, before[i] = int(block[0]) - before[i], int(block[0])
-        size = abs(diff).bit_length()
-        symbols.append((kinds[i], size, diff if diff >= 0 else diff + (1 << size) - 1, size))
-        last = 0
-        for k in np.flatnonzero(block[1:]) + 1:
-            zeros, last, v = int(k) - last - 1, int(k), int(block[k])
-            while zeros > 15:
-                symbols.append((16 | kinds[i], 0xF0, 0, 0))
-                zeros -= 16
-            size = abs(v).bit_length()
-            symbols.append((16 | kinds[i], zeros << 4 | size, v if v > 0 else v + (1 << size) - 1, size))
-        if last < 63:
-            symbols.append((16 | kinds[i], 0, 0, 0))
-    counts: dict[int, dict[int, int]] = {}
-    for t, s, _, _ in symbols:
-        counts.setdefault(t, {}).setdefault(s, 0)
-        counts[t][s] += 1
-    tables = {t: _best_lengths(c) for t, c in counts.items()}
-    code = {(t, s): (length, c) for t, (n, sym) in tables.items() for (length, c), s in _codes(n, sym).items()}
-    bits = "".join(f"{code[t, s][1]:0{code[t, s][0]}b}" + (f"{v:0{n}b}" if n else "") for t, s, v, n in symbols)
-    bits += "1" * (-len(bits) % 8)
-    scan = int(bits or "0", 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\0")
+def _symbols(image: Image, chosen: list[int], first: int, last: int, progressive: bool) -> Iterator[tuple[int, int, int, int]]:
+    """(table, symbol, extra bits, their number) of a scan. Tables are 0 and 1 for DC, 16 and 17
+    for AC; the second ones are those of the components after the first."""
+    before, ended, of = [0] * len(image.comps), 0, [c.blocks.tolist() for c in image.comps]
+
+    def end_of_blocks(table: int) -> Iterator[tuple[int, int, int, int]]:
+        if ended:
+            size = ended.bit_length() - 1
+            yield table, size << 4, ended - (1 << size), size
+
+    table = 16
+    for unit in image.units(chosen):
+        for i, y, x in unit:
+            block, kind = of[i][y][x], 1 if i else 0
+            if not first:
+                diff, before[i] = block[0] - before[i], block[0]
+                size = abs(diff).bit_length()
+                yield kind, size, diff if diff >= 0 else diff + (1 << size) - 1, size
+            at, table = max(1, first), 16 | kind
+            for k in range(at, last + 1):
+                v = block[k]
+                if not v:
+                    continue
+                yield from end_of_blocks(table)
+                ended = 0
+                while k - at > 15:
+                    yield table, 0xF0, 0, 0
+                    at += 16
+                size = abs(v).bit_length()
+                yield table, (k - at) << 4 | size, v if v > 0 else v + (1 << size) - 1, size
+                at = k + 1
+            if at <= last:
+                if not progressive:
+                    yield table, 0, 0, 0
+                elif (ended := ended + 1) == 0x7FFF:
+                    yield from end_of_blocks(table)
+                    ended = 0
+    yield from end_of_blocks(table)
+
+
+def write(image: Image, progressive: bool = False) -> bytes:
+    """A file with Huffman tables made for its coefficients, without restarts: one scan, or
+    (progressive) all DC coefficients and then each component's low and high frequencies."""
+    whole = list(range(len(image.comps)))
     out = [b"\xff\xd8", *image.markers]
     for i, t in sorted(image.tables.items()):
         wide = t.max() > 255
         out.append(b"\xff\xdb" + struct.pack(">HB", 131 if wide else 67, wide << 4 | i) + struct.pack(">64H" if wide else "64B", *t.tolist()))
     frame = struct.pack(">BHHB", 8, image.height, image.width, len(image.comps)) + b"".join(bytes([c.id, c.h << 4 | c.v, c.table]) for c in image.comps)
-    out.append(b"\xff\xc0" + struct.pack(">H", len(frame) + 2) + frame)
-    for t, (n, sym) in sorted(tables.items()):
-        out.append(b"\xff\xc4" + struct.pack(">HB", 19 + len(sym), t) + n + sym)
-    head = bytes([len(image.comps)]) + b"".join(bytes([c.id, kinds[i] << 4 | kinds[i]]) for i, c in enumerate(image.comps)) + b"\0\x3f\0"
-    out.append(b"\xff\xda" + struct.pack(">H", len(head) + 2) + head + scan + b"\xff\xd9")
-    return b"".join(out)
+    out.append(b"\xff" + (b"\xc2" if progressive else b"\xc0") + struct.pack(">H", len(frame) + 2) + frame)
+    scans = [(whole, 0, 0), *(([i], a, b) for a, b in ((1, 5), (6, 63)) for i in whole)] if progressive else [(whole, 0, 63)]
+    for chosen, first, last in scans:
+        symbols = list(_symbols(image, chosen, first, last, progressive))
+        counts: dict[int, dict[int, int]] = {}
+        for t, s, _, _ in symbols:
+            of = counts.setdefault(t, {})
+            of[s] = of.get(s, 0) + 1
+        tables = {t: _best_lengths(c) for t, c in counts.items()}
+        code = {(t, s): (length, c) for t, (n, sym) in tables.items() for (length, c), s in _codes(n, sym).items()}
+        bits = "".join(f"{code[t, s][1]:0{code[t, s][0]}b}" + (f"{v:0{n}b}" if n else "") for t, s, v, n in symbols)
+        bits += "1" * (-len(bits) % 8)
+        scan = int(bits or "0", 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\0")
+        for t, (n, sym) in sorted(tables.items()):
+            out.append(b"\xff\xc4" + struct.pack(">HB", 19 + len(sym), t) + n + sym)
+        head = bytes([len(chosen)]) + b"".join(bytes([image.comps[i].id, 17 if i else 0]) for i in chosen) + bytes([first, last, 0])
+        out.append(b"\xff\xda" + struct.pack(">H", len(head) + 2) + head + scan)
+    return b"".join(out) + b"\xff\xd9"
+
+
+def smallest(image: Image) -> bytes:
+    """The shorter of the two ways to write it."""
+    return min(write(image), write(image, True), key=len)
 
 
 def lossless(data: bytes) -> bytes:
@@ -279,7 +405,7 @@ def lossless(data: bytes) -> bytes:
     colour ones (JFIF, Adobe) go."""
     image = read(data)
     image.markers = [m for m in image.markers if m[1] in (0xE0, 0xEE)]
-    return write(image)
+    return smallest(image)
 
 
 def quality_table(quality: int) -> np.ndarray:
@@ -289,7 +415,7 @@ def quality_table(quality: int) -> np.ndarray:
 
 
 def encode(pixels: bytes, width: int, height: int, comps: int, quality: int) -> bytes:
-    """Gray or RGB pixels as a baseline file; colour as YCbCr, all planes with one table."""
+    """Gray or RGB pixels as a JPEG file; colour as YCbCr, all planes with one table."""
     p = np.frombuffer(pixels, np.uint8).reshape(height, width, comps).astype(float)
     if comps == 3:
         r, g, b = p[:, :, 0], p[:, :, 1], p[:, :, 2]
@@ -303,7 +429,7 @@ def encode(pixels: bytes, width: int, height: int, comps: int, quality: int) ->
     for i, c in enumerate(image.comps):
         b = p[:, :, i].reshape(p.shape[0] // 8, 8, p.shape[1] // 8, 8).transpose(0, 2, 1, 3)
         c.blocks = np.rint((_DCT @ b @ _DCT.T).reshape(*b.shape[:2], 64)[:, :, _ZIG] / table).astype(np.int32)
-    return write(image)
+    return smallest(image)
 
 
 def to_rgb(pixels: bytes) -> bytes:
@@ -312,3 +438,17 @@ def to_rgb(pixels: bytes) -> bytes:
     y, cb, cr = p[:, 0], p[:, 1] - 128, p[:, 2] - 128
     rgb = np.stack([y + 1.402 * cr, y - 0.344136 * cb - 0.714136 * cr, y + 1.772 * cb], 1)
     return np.clip(np.rint(rgb), 0, 255).astype(np.uint8).tobytes()
+
+
+def samples(doc, s) -> bytes | None:
+    """Decoded samples of an image, JPEG colour as RGB; None if its codec is not read."""
+    data = doc.data(s)
+    if data is None and filters_of(s.dict) == ["/DCTDecode"]:
+        try:
+            image = read(s.raw)
+            data = image.pixels()
+            if len(image.comps) == 3:
+                data = to_rgb(data)
+        except (ValueError, KeyError, IndexError, struct.error):
+            return None
+    return data

@@ -179,12 +179,8 @@ def optimise_colours(doc: Document, o: Options) -> int:
         space = doc.get(s.dict.get("/ColorSpace"))
         if bits != 8 or w <= 0 or h <= 0:
             continue
-        pixels = doc.data(s) if not {"/DCTDecode", "/DCT"} & set(filters_of(s.dict)) or space == "/DeviceGray" else None
-        if pixels is None and space == "/DeviceGray" and filters_of(s.dict) == ["/DCTDecode"]:
-            try:
-                pixels = jpeg.read(s.raw).pixels()
-            except (ValueError, KeyError, IndexError, struct.error):
-                continue
+        coded = {"/DCTDecode", "/DCT"} & set(filters_of(s.dict))
+        pixels = jpeg.samples(doc, s) if not coded or space == "/DeviceGray" else None
         if pixels is None:
             continue
         if space == "/DeviceRGB" and len(pixels) == w * h * 3 and images.is_gray(pixels):
@@ -214,15 +210,7 @@ def _pixels(doc: Document, s: Stream) -> tuple[bytes, int, int, int, bool] | Non
     comps, cmyk = images.resolve_space(doc, s.dict.get("/ColorSpace"))
     if bits != 8 or not comps or not (0 < w <= SIDE and 0 < h <= SIDE):
         return None
-    data = doc.data(s)
-    if data is None and filters_of(s.dict) == ["/DCTDecode"]:
-        try:
-            image = jpeg.read(s.raw)
-            data = image.pixels()
-            if len(image.comps) == 3:
-                data = jpeg.to_rgb(data)
-        except (ValueError, KeyError, IndexError, struct.error):
-            return None
+    data = jpeg.samples(doc, s)
     return (data, w, h, comps, cmyk) if data is not None and len(data) == w * h * comps else None
 
 

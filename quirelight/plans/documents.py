@@ -44,9 +44,8 @@ def pdf_strip_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pdf_unreferenced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = _pdfs(spark, sf_dir)
     """Objects that a file's trailer doesn't reach, found where the file is read."""
-    found = pdf.table(files, "unreferenced", ["obj"])
+    found = pdf.table(_pdfs(spark, sf_dir), "unreferenced", ["obj"])
     return found.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("obj").cast("int").alias("obj"))
 
 

@@ -5,34 +5,15 @@ A decorated function is a query; the SQL beside it says what DuckDB should find.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import encodings, images, numbers, text
 from ..operators import relational as op
+from .registry import Registry
 
 c = F.col
-_queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_sql: dict[str, str] = {}
-
-
-def query(sql: str):
-    def register(f):
-        _queries[f.__name__] = lambda spark, sf_dir: f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
-        _sql[f.__name__] = sql
-        return f
-
-    return register
-
-
-def queries():
-    return dict(_queries)
-
-
-def oracle_sql():
-    return dict(_sql)
+_all = Registry()
+query, queries, oracle_sql = _all.query, _all.queries, _all.oracle_sql
 
 
 # ---- duplicates and references

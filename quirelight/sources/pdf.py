@@ -7,6 +7,7 @@ and columns a query doesn't ask for (payloads above all) are left out of the row
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from ..cos import content, images
+from ..cos import content, fonts, images, jpeg
 from ..cos.document import Document, edges, rect
 from ..cos.filters import filters_of
 from ..cos.objects import Name, PdfError, Ref, Stream, number, unparse
@@ -87,6 +88,24 @@ def _images(doc: Document) -> Iterator[tuple]:
             yield *r, whole("/Width"), whole("/Height"), whole("/BitsPerComponent"), unparse(doc.get(d.get("/ColorSpace"))).decode("latin-1"), comps, cmyk, filters_of(d), of("/SMask"), of("/Mask"), quality, len(s.raw), s.raw
 
 
+def _pixels(doc: Document) -> Iterator[tuple]:
+    for r, s in doc.objects.items():
+        if isinstance(s, Stream) and s.dict.get("/Subtype") == "/Image":
+            yield *r, jpeg.samples(doc, s)
+
+
+def _glyphs(doc: Document) -> Iterator[tuple]:
+    files = {d["/FontFile2"] for x in doc.objects.values() if isinstance(x, dict) and isinstance((d := doc.dict_of(x.get("/FontDescriptor"))).get("/FontFile2"), Ref)}
+    for r in sorted(files):
+        s = doc.get(r)
+        try:
+            font = fonts.TrueType(doc.data(s) or b"") if isinstance(s, Stream) else None
+        except (ValueError, KeyError, IndexError, struct.error):
+            continue
+        for g in range(font.glyphs if font else 0):
+            yield *r, g, font.loca[g + 1] - font.loca[g]
+
+
 def _fonts(doc: Document) -> Iterator[tuple]:
     for r, d in doc.objects.items():
         if isinstance(d, dict) and d.get("/Type") == "/Font":
@@ -136,6 +155,8 @@ TABLES: dict[str, tuple[Callable[[Document], Iterator[tuple]], str]] = {
     "pages": (_pages, "page_no int, obj int, gen int, media_box array<double>"),
     "page_resources": (_resources, "page_no int, category string, name string, dst_obj int, dst_gen int"),
     "images": (_images, "obj int, gen int, width int, height int, bpc int, colorspace string, n_comp int, is_cmyk boolean, filter array<string>, smask_obj int, mask_obj int, quality int, stream_len long, raw binary"),
+    "pixels": (_pixels, "obj int, gen int, samples binary"),
+    "glyphs": (_glyphs, "obj int, gen int, glyph int, size int"),
     "fonts": (_fonts, "obj int, gen int, subtype string, base_font string, first_char int, last_char int, widths array<double>, file_obj int, is_cid boolean"),
     "annots": (_annots, "page_no int, idx int, subtype string, flags int, ft string, rect array<double>, ap_obj int, action_s string, has_aa boolean"),
     "content_ops": (_ops, "owner_kind string, owner_obj int, page_no int, seq long, op string, operands array<string>"),

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,6 +28,57 @@ def plain_file(objects: dict[int, object], trailer: dict) -> bytes:
     return out + b"xref\n0 %d\n" % size + table + b"trailer\n" + unparse(trailer | {Name("/Size"): size}) + b"\nstartxref\n%d\n%%%%EOF\n" % len(out)
 
 
+def entries(**more) -> dict:
+    """A dictionary of PDF: entries(Type=...) is /Type and so on."""
+    return {Name(f"/{k}"): v for k, v in more.items()}
+
+
+def one_page(content: bytes | list[bytes], objects: dict | None = None, page: dict | None = None, root: dict | None = None, trailer: dict | None = None) -> bytes:
+    """A file with one page; further objects have numbers from 20 on. A list of contents becomes
+    as many streams, with the numbers 4 to 19 at most."""
+    parts = content if isinstance(content, list) else [content]
+    refs = [Ref(4 + i, 0) for i in range(len(parts))]
+    whole = {
+        1: entries(Type=Name("/Catalog"), Pages=Ref(2, 0)) | (root or {}),
+        2: entries(Type=Name("/Pages"), Kids=[Ref(3, 0)], Count=1),
+        3: entries(Type=Name("/Page"), Parent=Ref(2, 0), MediaBox=[0, 0, 612, 792], Contents=refs if isinstance(content, list) else refs[0]) | (page or {}),
+    }
+    whole |= {r.num: Stream({}, x) for r, x in zip(refs, parts)}
+    return plain_file(whole | (objects or {}), entries(Root=Ref(1, 0)) | (trailer or {}))
+
+
+def image(width: int, height: int, space, raw: bytes, bits: int = 8, **more) -> Stream:
+    return Stream(entries(Type=Name("/XObject"), Subtype=Name("/Image"), Width=width, Height=height, ColorSpace=space, BitsPerComponent=bits, **more), raw)
+
+
+def true_type(first: int, last: int) -> bytes:
+    """A TrueType file in which glyph 1 + k is that of the character first + k, of 20 bytes each."""
+    n = last - first + 1
+    outline = lambda k: struct.pack(">hhhhh", 1, 0, 0, 9, 9) + bytes([k % 256]) * 10
+    cmap = struct.pack(">HHHHI", 0, 1, 3, 1, 12) + struct.pack(">HHHHH", 6, 10 + 2 * n, 0, first, n) + struct.pack(f">{n}H", *range(1, n + 1))
+    tables = {
+        "cmap": cmap, "glyf": b"".join(map(outline, range(n))), "head": bytes(54), "loca": struct.pack(f">{n + 2}H", 0, *(10 * k for k in range(n + 1))),
+        "maxp": struct.pack(">IH", 0x10000, n + 1),
+    }
+    out, data, at = b"\0\1\0\0" + struct.pack(">HHHH", len(tables), 0, 0, 0), b"", 12 + 16 * len(tables)
+    for tag, t in tables.items():
+        out += struct.pack(">4sIII", tag.encode(), 0, at + len(data), len(t))
+        data += t + b"\0" * (-len(t) % 4)
+    return out + data
+
+
+def made(df: DataFrame, build: Callable[..., bytes], *columns: str) -> DataFrame:
+    """(doc_id, content): a file a row, build(*columns) of it; the first column is its id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            files = [build(*values) for values in zip(*(c.to_pylist() for c in x.columns))]
+            yield pa.RecordBatch.from_arrays([x.column(0), pa.array(files, pa.binary())], ["doc_id", "content"])
+
+    kind = df.schema[columns[0]].dataType.simpleString()
+    return df.select(*columns).mapInArrow(run, f"doc_id {kind}, content binary")
+
+
 def of_texts(texts: list[str], info: bool, packed: bool) -> bytes:
     """A page a text, shown as hexadecimal strings of its UTF-8 bytes; with an unused
     object, a /ProcSet, and (info) metadata."""

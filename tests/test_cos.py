@@ -205,6 +205,70 @@ def test_jpeg(q):
     assert images.estimate_quality(bytes(noisy)) in (-1, q, *range(1, 101)) and images.estimate_quality(b"no") == -1
 
 
+def java_jpeg(spark, pixels, progressive):
+    """A file that the JVM's own writer makes of gray (h, w) or RGB (h, w, 3) pixels."""
+    jvm = spark._jvm
+    io, kinds = jvm.javax.imageio, jvm.java.awt.image.BufferedImage
+    h, w = pixels.shape[:2]
+    picture = kinds(w, h, kinds.TYPE_BYTE_GRAY if pixels.ndim == 2 else kinds.TYPE_INT_RGB)
+    raster = picture.getRaster()
+    for b in range(1 if pixels.ndim == 2 else 3):
+        plane = pixels if pixels.ndim == 2 else pixels[:, :, b]
+        for y in range(h):
+            for x in range(w):
+                raster.setSample(x, y, b, int(plane[y, x]))
+    writer = io.ImageIO.getImageWritersByFormatName("jpeg").next()
+    param = writer.getDefaultWriteParam()
+    if progressive:
+        param.setProgressiveMode(io.ImageWriteParam.MODE_DEFAULT)
+    out = jvm.java.io.ByteArrayOutputStream()
+    stream = io.ImageIO.createImageOutputStream(out)
+    writer.setOutput(stream)
+    writer.write(None, io.IIOImage(picture, None, None), param)
+    stream.flush()
+    return bytes(out.toByteArray())
+
+
+def java_pixels(spark, data):
+    raster = spark._jvm.javax.imageio.ImageIO.read(spark._jvm.java.io.ByteArrayInputStream(data)).getRaster()
+    w, h, n = raster.getWidth(), raster.getHeight(), raster.getNumBands()
+    return np.array([[[raster.getSample(x, y, b) for b in range(n)] for x in range(w)] for y in range(h)])
+
+
+@pytest.mark.parametrize("colour", [False, True])
+def test_progressive_jpeg(spark, colour):
+    r = np.random.default_rng(3)
+    px = np.clip(r.normal(0, 12, (21, 27, 3)).cumsum(1).cumsum(0) / 3 + 128, 0, 255).astype(np.uint8)
+    px = px if colour else px[:, :, 0]
+    plain, data = java_jpeg(spark, px, False), java_jpeg(spark, px, True)
+    assert b"\xff\xc2" in data and data.count(b"\xff\xda") > 3
+    one, many = jpeg.read(plain), jpeg.read(data)
+    assert one.pixels() == many.pixels()
+    if not colour:
+        assert np.abs(java_pixels(spark, data).reshape(-1) - np.frombuffer(many.pixels(), np.uint8).astype(int)).max() <= 1
+    for progressive in (False, True):
+        again = jpeg.write(many, progressive)
+        assert jpeg.read(again).pixels() == many.pixels() and (java_pixels(spark, again) == java_pixels(spark, data)).all()
+    assert len(jpeg.lossless(data)) <= len(data)
+    for stop in range(0, len(data), 40):  # a file that ends early, or is damaged, is refused or read, never loops
+        for broken in (data[:stop], data[:stop] + b"\x55" + data[stop + 1 :]):
+            try:
+                jpeg.read(broken)
+            except (ValueError, KeyError, IndexError, struct.error):
+                pass
+
+
+def test_best_script_and_restarts():
+    noisy = np.random.default_rng(0).integers(0, 256, (96, 96, 3)).astype(np.uint8).tobytes()
+    image = jpeg.read(jpeg.encode(noisy, 96, 96, 3, 90))
+    assert len(jpeg.smallest(image)) == min(len(jpeg.write(image)), len(jpeg.write(image, True)))
+    one = jpeg.write(jpeg.read(jpeg.encode(bytes(range(64)), 8, 8, 1, 100)))
+    frame, scan = one.find(b"\xff\xc0"), one.find(b"\xff\xda") + 10
+    wide = one[:frame] + b"\xff\xdd\0\4\0\1" + one[frame : frame + 7] + b"\0\x10" + one[frame + 9 : -2] + b"\xff\xd0" + one[scan:]
+    both = jpeg.read(wide)
+    assert (both.width, both.restart) == (16, 1) and (both.comps[0].blocks[0, 0] == both.comps[0].blocks[0, 1]).all()
+
+
 def test_quality_of_columns_equals_the_kernels(spark):
     from pyspark.sql import functions as F
     from quirelight.functions.images import estimate_quality
