@@ -168,6 +168,23 @@ class TrueType:
                 continue
         return out
 
+    def names(self) -> dict[str, int]:
+        """Name -> glyph of the names that the `post` table spells out (version 2). Its standard
+        names are left to ``glyph_unicode`` and the cmap."""
+        t = self.tables.get("post", b"")
+        if len(t) < 34 or t[:4] != b"\0\2\0\0":
+            return {}
+        n = struct.unpack_from(">H", t, 32)[0]
+        places, at, spelt = struct.unpack_from(f">{n}H", t, 34), 34 + 2 * n, []
+        while at < len(t):
+            spelt.append(t[at + 1 : at + 1 + t[at]].decode("latin-1"))
+            at += 1 + t[at]
+        out: dict[str, int] = {}
+        for g, k in enumerate(places):
+            if 258 <= k < 258 + len(spelt):
+                out.setdefault(spelt[k - 258], g)
+        return out
+
     @staticmethod
     def _subtable(t: bytes, at: int):
         form = struct.unpack_from(">H", t, at)[0]

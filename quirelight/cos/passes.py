@@ -402,7 +402,12 @@ def _collect(doc: Document, top: dict, d: dict, file: Ref, codes: set[int], cid:
         found = codes if table is None else {struct.unpack_from(">H", table, 2 * c)[0] for c in codes if 2 * c + 2 <= len(table)}
         files[file] = (gids | set(found), simple)
         return
-    cmap, found, mapped = font.cmap(), set(), set()
+    found, mapped = set(), set()
+    try:
+        cmap, glyphs = font.cmap(), font.names()
+    except struct.error:
+        bad.add(file)
+        return
     enc = doc.get(d.get("/Encoding"))
     base = enc if isinstance(enc, Name) else doc.get(enc.get("/BaseEncoding")) if isinstance(enc, dict) else None
     named = fonts.differences([doc.get(v) for v in doc.get(enc["/Differences"])]) if isinstance(enc, dict) and isinstance(doc.get(enc.get("/Differences")), list) else {}
@@ -410,7 +415,7 @@ def _collect(doc: Document, top: dict, d: dict, file: Ref, codes: set[int], cid:
     told = fonts.to_unicode(doc.data(uni) or b"", codes) if isinstance(uni, Stream) else {}
     for c in codes:
         values = [told.get(c, 0), fonts.glyph_unicode(named[c]) if c in named else fonts.base_unicode(c, base), c, 0xF000 + c]
-        hit = {cmap[v] for v in values if v in cmap}
+        hit = {cmap[v] for v in values if v in cmap} | ({glyphs[named[c]]} if named.get(c) in glyphs else set())
         found |= hit
         if hit:
             mapped.add(c)

@@ -1,4 +1,4 @@
-"""Markup and content strings as column expressions."""
+"""Markup as column expressions."""
 
 from __future__ import annotations
 
@@ -6,13 +6,5 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def without_scripts(markup: Column) -> Column:
-    return F.regexp_replace(markup, r"(?s)<script[^>]*>.*?</script>", "")
-
-
 def without_comments(markup: Column) -> Column:
     return F.regexp_replace(markup, r"(?s)<!--.*?-->", "")
-
-
-def squeeze_space(s: Column) -> Column:
-    return F.regexp_replace(s, r"[ \t\r\n]+", " ")

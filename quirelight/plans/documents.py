@@ -16,13 +16,16 @@ def _pdfs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pdf_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text shown by the pages of the rewritten files."""
     done = api.compress(_pdfs(spark, sf_dir)).select("doc_id", F.col("output").alias("content"))
-    shown = pdf.table(done, "content_ops", ["seq", "op", "operands"]).where("op IN ('BT', 'Tj')")  # each page has a BT, texts that are empty too
-    # an operand is (text) or <hexadecimal digits>
-    t = F.get("operands", F.size("operands") - 1)
-    raw = F.when(F.startswith(t, F.lit("<")), F.unhex(F.substring(t, F.lit(2), F.length(t) - 2))).otherwise(F.encode(F.substring(t, F.lit(2), F.length(t) - 2), "ISO-8859-1"))
-    per = shown.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.when(F.col("op") == "Tj", F.struct("seq", F.hex(raw).alias("h"))))).alias("x"))
-    text = F.decode(F.unhex(F.array_join(F.transform("x", lambda v: v["h"]), "")), "UTF-8")
-    return per.select("doc_id", F.length(text).cast("long").alias("len"), F.md5(F.encode(text, "UTF-8")).alias("md5"))
+
+    def shown(x):  # an operand is (text) or <hexadecimal digits>
+        t = F.get(x["operands"], F.size(x["operands"]) - 1)
+        inner = F.substring(t, F.lit(2), F.length(t) - 2)
+        return F.when(F.startswith(t, F.lit("<")), inner).otherwise(F.hex(F.encode(inner, "ISO-8859-1")))
+
+    files = pdf.per_document(done, {"content_ops": ["op", "operands"]})
+    parts = F.transform(F.filter("content_ops", lambda x: x["op"] == "Tj"), shown)
+    text = F.decode(F.unhex(F.array_join(parts, "")), "UTF-8")
+    return files.select("doc_id", F.length(text).cast("long").alias("len"), F.md5(F.encode(text, "UTF-8")).alias("md5"))
 
 
 def pdf_dedup_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,14 +42,15 @@ def pdf_strip_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether files have an /Info reference before and after."""
     before = _pdfs(spark, sf_dir)
     done = api.compress(before).select("doc_id", F.col("output").alias("content"))
-    info = lambda df, name: pdf.table(df, "edges", ["src_obj", "path"]).where("src_obj = 0").groupBy("doc_id").agg(F.bool_or(F.get("path", 0) == "/Info").alias(name))
+    has = F.exists("edges", lambda x: (x["src_obj"] == 0) & (F.get(x["path"], 0) == "/Info"))
+    info = lambda df, name: pdf.per_document(df, {"edges": ["src_obj", "path"]}).select("doc_id", has.alias(name))
     return info(before, "had_info").join(info(done, "has_info"), "doc_id")
 
 
 def pdf_unreferenced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Objects that a file's trailer doesn't reach, found where the file is read."""
-    found = pdf.table(_pdfs(spark, sf_dir), "unreferenced", ["obj"])
-    return found.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("obj").cast("int").alias("obj"))
+    found = pdf.per_document(_pdfs(spark, sf_dir), {"unreferenced": ["obj"]}).where(F.size("unreferenced") > 0)
+    return found.select("doc_id", F.size("unreferenced").cast("long").alias("n"), F.array_max(F.transform("unreferenced", lambda x: x["obj"])).alias("obj"))
 
 
 def pass_report(spark: SparkSession, sf_dir: str) -> DataFrame:

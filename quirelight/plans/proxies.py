@@ -138,13 +138,6 @@ def ctm_fold(t):
     return uses.select("l_orderkey", F.size("u").cast("long").alias("uses"), total("w").alias("sum_w"), total("h").alias("sum_h"))
 
 
-@query(f"""SELECT l_orderkey, arg_min(seq, (-(l_partkey % 50) * (l_suppkey % 20), seq)) AS seq, max((l_partkey % 50) * (l_suppkey % 20)) AS area FROM {_LINES} GROUP BY l_orderkey""")
-def rendered_size_max(t):
-    w = op.Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    lines = t("lineitem").select("l_orderkey", F.row_number().over(w).cast("long").alias("seq"), ((c("l_partkey") % 50) * (c("l_suppkey") % 20)).alias("area"))
-    return lines.groupBy("l_orderkey").agg(F.max_by("seq", F.struct("area", -c("seq"))).alias("seq"), F.max("area").alias("area"))
-
-
 @query("""WITH r AS (SELECT *, count(num) OVER (PARTITION BY conv_id ORDER BY turn) AS run, last_value(num IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS base
             FROM (SELECT conv_id, turn, role, CASE WHEN role = 'user' THEN length(text) % 200 END AS num FROM conversations))
           SELECT conv_id, turn, coalesce(base, 0) + row_number() OVER (PARTITION BY conv_id, run ORDER BY turn) - 1 AS code FROM r WHERE role <> 'user'""")
@@ -160,43 +153,20 @@ def width_runs(t):
     return op.islands(t("lineitem"), ["l_orderkey"], "l_linenumber")
 
 
-@query("SELECT user_id, max(event_id) FILTER (WHERE value > 50) AS last_used, count(*) AS n FROM events GROUP BY user_id")
-def trailing_trim(t):
-    return t("events").groupBy("user_id").agg(F.max(F.when(c("value") > 50, c("event_id"))).alias("last_used"), F.count("*").alias("n"))
-
-
 # ---- groups and sets
 
 
-@query("SELECT l_suppkey, count(DISTINCT l_partkey % 256) AS codes, bool_or(l_returnflag = 'R') AS is_cid FROM lineitem GROUP BY l_suppkey")
-def font_file_merge(t):
-    return t("lineitem").groupBy("l_suppkey").agg(F.countDistinct(c("l_partkey") % 256).alias("codes"), F.bool_or(c("l_returnflag") == "R").alias("is_cid"))
-
-
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem WHERE l_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 40)")
 def veto_guard(t):
     return op.vetoed(t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"), "l_orderkey", c("l_quantity") > 40).drop("l_quantity")
 
 
-@query("SELECT l_partkey AS gid FROM lineitem WHERE l_quantity > 45 UNION SELECT l_partkey FROM lineitem WHERE l_discount > 0.09 UNION SELECT p_partkey FROM part WHERE p_size = 1 UNION SELECT 0")
-def glyph_union(t):
-    li = t("lineitem")
-    parts = [li.where("l_quantity > 45").select(c("l_partkey").alias("gid")), li.where("l_discount > 0.09").select("l_partkey"), t("part").where("p_size = 1").select("p_partkey")]
-    return parts[0].union(parts[1]).union(parts[2]).union(li.sparkSession.createDataFrame([(0,)], "gid long")).distinct()
-
-
 @query("SELECT p_partkey AS code FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 47")
 def codes_difference(t):
     used = t("lineitem").where("l_quantity > 47").select(c("l_partkey").alias("code"))
     return op.unused(t("part").select(c("p_partkey").alias("code")).distinct(), used, ["code"])
 
 
-@query("SELECT l_orderkey AS k, 'Do' AS op FROM lineitem WHERE l_returnflag = 'A' UNION SELECT o_orderkey, 'gs' FROM orders WHERE o_orderstatus = 'F' UNION SELECT o_custkey, 'Tf' FROM orders")
-def used_names_union(t):
-    a = t("lineitem").where("l_returnflag = 'A'").select(c("l_orderkey").alias("k"), F.lit("Do").alias("op"))
-    return a.union(t("orders").where("o_orderstatus = 'F'").select("o_orderkey", F.lit("gs"))).union(t("orders").select("o_custkey", F.lit("Tf"))).distinct()
-
-
 @query("""SELECT user_id, count(*) AS n FROM (SELECT user_id, array_agg(DISTINCT event_type ORDER BY event_type) AS a, array_agg(DISTINCT CASE WHEN value > 50 THEN event_type END ORDER BY CASE WHEN value > 50 THEN event_type END) FILTER (WHERE value > 50) AS b
             FROM events GROUP BY user_id) WHERE b IS NULL OR a <> b GROUP BY user_id""")
 def set_gate(t):
@@ -204,18 +174,6 @@ def set_gate(t):
     return sets.where("a <> b").groupBy("user_id").agg(F.count("*").alias("n"))
 
 
-@query("SELECT event_id, event_id & 35 AS flags FROM events WHERE (event_id & 35) = 0 AND event_type <> 'click'")
-def widget_filter(t):
-    flags = c("event_id").bitwiseAND(35)
-    return t("events").where((flags == 0) & (c("event_type") != "click")).select("event_id", flags.alias("flags"))
-
-
-@query("SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS stream, count(*) AS parts FROM conversations GROUP BY conv_id HAVING count(*) > 1")
-def coalesce_streams(t):
-    per = t("conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("x")).where(F.size("x") > 1)
-    return per.select("conv_id", F.array_join(F.transform("x", lambda v: v["text"]), "\n").alias("stream"), F.size("x").cast("long").alias("parts"))
-
-
 # ---- images
 
 _DRAWN = "SELECT p_partkey, 100 + p_partkey % 900 AS w, 50 + p_size * 37 AS h, n FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n FROM lineitem WHERE l_quantity > 40 GROUP BY l_partkey) ON l_partkey = p_partkey"
@@ -248,13 +206,6 @@ def jpeg_quality_estimate(t):
     return t("customer").select("c_custkey", images.estimate_quality(table).cast("int").alias("quality"))
 
 
-@query("""SELECT l_orderkey, bool_and(l_partkey % 8 = CASE WHEN l_orderkey % 3 = 0 THEN l_partkey % 8 ELSE l_suppkey % 8 END) AS is_gray FROM lineitem GROUP BY l_orderkey""")
-def gray_detect(t):
-    r = c("l_partkey") % 8
-    g = F.when(c("l_orderkey") % 3 == 0, r).otherwise(c("l_suppkey") % 8)
-    return t("lineitem").groupBy("l_orderkey").agg(F.bool_and(r == g).alias("is_gray"))
-
-
 _PIX = "list_transform(embedding, lambda x: CASE WHEN vec_id % 4 = 0 THEN CASE WHEN x > 0 THEN 255 ELSE 0 END ELSE floor((x::DOUBLE + 1) * 127.5)::INT END)"
 
 
@@ -308,11 +259,6 @@ def only_if_smaller(t):
 # ---- strings
 
 
-@query(r"SELECT page_id, trim(regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'), '[ \t\r\n]+', ' ', 'g')) AS html FROM pages")
-def minify_tokens(t):
-    return t("pages").select("page_id", F.trim(text.squeeze_space(text.without_comments(c("html")))).alias("html"))
-
-
 _TRIM = "regexp_replace(regexp_replace(s, '0+$', ''), '[.]$', '')"
 
 
@@ -331,19 +277,6 @@ def parse_number(t):
     return both.select("event_id", numbers.parse_number(c("s")).alias("num"))
 
 
-@query("SELECT page_id, regexp_replace(html, '<script[^>]*>.*?</script>', '', 'gs') AS html, length(html) - length(regexp_replace(html, '<script[^>]*>.*?</script>', '', 'gs')) AS cut FROM pages")
-def strip_javascript(t):
-    new = text.without_scripts(c("html"))
-    return t("pages").select("page_id", new.alias("html"), (F.length("html") - F.length(new)).cast("long").alias("cut"))
-
-
-@query("SELECT event_id, CASE WHEN event_id % 2 = 1 THEN json_extract_string(props, '$.k') END AS k FROM events")
-def strip_keys(t):
-    deny = t("events").sparkSession.createDataFrame([(0,)], "kind long")  # the deny-list: fixed size
-    kept = t("events").withColumn("kind", c("event_id") % 2).join(F.broadcast(deny.withColumn("gone", F.lit(True))), "kind", "left")
-    return kept.select("event_id", F.when(c("gone").isNull(), F.get_json_object("props", "$.k")).alias("k"))
-
-
 # fixed values: codes 128 to 159 of code page 1252, and 128 to 255 of Mac OS Roman
 _CP1252 = [
     8364, 129, 8218, 402, 8222, 8230, 8224, 8225, 710, 8240, 352, 8249, 338, 141, 381, 143,

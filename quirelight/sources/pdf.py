@@ -2,7 +2,8 @@
 
 Input is any table with an id and a BINARY column, such as ``read_pdfs`` gives. Each table
 below is one narrow pass over it: documents are parsed where they lie, nothing is shuffled,
-and columns a query doesn't ask for (payloads above all) are left out of the rows.
+and columns a query doesn't ask for (payloads above all) are left out of the rows. Several
+tables of a document come from one such pass through ``per_document``.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from ..cos import content, fonts, images, jpeg
 from ..cos.document import Document, edges, rect
@@ -166,27 +167,56 @@ TABLES: dict[str, tuple[Callable[[Document], Iterator[tuple]], str]] = {
 }
 
 
-def table(pdfs: DataFrame, name: str, columns: list[str] | None = None) -> DataFrame:
-    """A table of TABLES: doc_id and its columns, or the chosen ones. Documents that can't
-    be read, or are encrypted, have rows in ``status`` only."""
+def _rows(data: bytes | None, wanted: list[tuple[str, Callable, list[int]]]) -> list[list[tuple]]:
+    """The chosen columns of each wanted table of a file, from one reading of it."""
+    try:
+        doc = Document.read(data or b"")
+    except (PdfError, RecursionError):
+        return [[tuple(("not_pdf", 0, 0)[i] for i in at)] if name == "status" else [] for name, _, at in wanted]
+    out = []
+    for name, rows_of, at in wanted:
+        try:
+            found = [] if doc.status == "encrypted" and name != "status" else [tuple(r[i] for i in at) for r in rows_of(doc)]
+        except (PdfError, RecursionError):
+            found = []
+        out.append(found)
+    return out
+
+
+def _wanted(name: str, columns: list[str] | None) -> tuple[StructType, tuple[str, Callable, list[int]]]:
     rows_of, ddl = TABLES[name]
     whole = StructType.fromDDL(ddl)
     chosen = columns or whole.names
-    at = [whole.names.index(c) for c in chosen]
-    schema = StructType([pdfs.schema["doc_id"], *(whole[c] for c in chosen)])
+    return StructType([whole[c] for c in chosen]), (name, rows_of, [whole.names.index(c) for c in chosen])
+
+
+def table(pdfs: DataFrame, name: str, columns: list[str] | None = None) -> DataFrame:
+    """A table of TABLES: doc_id and its columns, or the chosen ones. Documents that can't
+    be read, or are encrypted, have rows in ``status`` only."""
+    fields, wanted = _wanted(name, columns)
+    schema = StructType([pdfs.schema["doc_id"], *fields])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in (b.slice(i, BATCH) for b in batches for i in range(0, b.num_rows, BATCH)):
-            rows = []
-            for doc_id, data in zip(x.column(0).to_pylist(), x.column(1).to_pylist()):
-                try:
-                    doc = Document.read(data or b"")
-                    found = [] if doc.status == "encrypted" and name != "status" else list(rows_of(doc))
-                except (PdfError, RecursionError):
-                    found = [("not_pdf", 0, 0)] if name == "status" else []
-                rows += [(doc_id, *(r[i] for i in at)) for r in found]
+            rows = [(doc_id, *r) for doc_id, data in zip(x.column(0).to_pylist(), x.column(1).to_pylist()) for r in _rows(data, [wanted])[0]]
             columns = list(zip(*rows)) if rows else [[] for _ in arrow]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
     return pdfs.select("doc_id", "content").mapInArrow(run, schema)
+
+
+def per_document(pdfs: DataFrame, tables: dict[str, list[str]]) -> DataFrame:
+    """A row a document: doc_id, and for each table of TABLES an array of its chosen columns, in
+    the table's order. Questions about single documents need no shuffle then, and a file is read
+    once whatever the number of tables. Documents that ``table`` leaves out have empty arrays."""
+    wanted = {name: _wanted(name, columns) for name, columns in tables.items()}
+    schema = StructType([pdfs.schema["doc_id"], *(StructField(name, ArrayType(fields)) for name, (fields, _) in wanted.items())])
+    arrow, each = to_arrow_schema(schema), [w for _, w in wanted.values()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in (b.slice(i, BATCH) for b in batches for i in range(0, b.num_rows, BATCH)):
+            found = [_rows(data, each) for data in x.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([x.column(0), *(pa.array([f[i] for f in found], arrow.field(i + 1).type) for i in range(len(each)))], schema=arrow)
+
+    return pdfs.select("doc_id", "content").mapInArrow(run, schema)

@@ -51,15 +51,18 @@ def image(width: int, height: int, space, raw: bytes, bits: int = 8, **more) ->
     return Stream(entries(Type=Name("/XObject"), Subtype=Name("/Image"), Width=width, Height=height, ColorSpace=space, BitsPerComponent=bits, **more), raw)
 
 
-def true_type(first: int, last: int) -> bytes:
-    """A TrueType file in which glyph 1 + k is that of the character first + k, of 20 bytes each."""
-    n = last - first + 1
+def true_type(first: int, last: int, names: dict[int, str] | None = None) -> bytes:
+    """A TrueType file in which glyph 1 + k is that of the character first + k, of 20 bytes each;
+    names spells the names of some glyphs."""
+    n, spelt = last - first + 1, sorted((names or {}).items())
+    place = {g: 258 + i for i, (g, _) in enumerate(spelt)}
+    post = b"\0\2\0\0" + bytes(28) + struct.pack(f">H{n + 1}H", n + 1, *(place.get(g, 0) for g in range(n + 1))) + b"".join(bytes([len(x)]) + x.encode() for _, x in spelt)
     outline = lambda k: struct.pack(">hhhhh", 1, 0, 0, 9, 9) + bytes([k % 256]) * 10
     cmap = struct.pack(">HHHHI", 0, 1, 3, 1, 12) + struct.pack(">HHHHH", 6, 10 + 2 * n, 0, first, n) + struct.pack(f">{n}H", *range(1, n + 1))
     tables = {
         "cmap": cmap, "glyf": b"".join(map(outline, range(n))), "head": bytes(54), "loca": struct.pack(f">{n + 2}H", 0, *(10 * k for k in range(n + 1))),
         "maxp": struct.pack(">IH", 0x10000, n + 1),
-    }
+    } | ({"post": post} if spelt else {})
     out, data, at = b"\0\1\0\0" + struct.pack(">HHHH", len(tables), 0, 0, 0), b"", 12 + 16 * len(tables)
     for tag, t in tables.items():
         out += struct.pack(">4sIII", tag.encode(), 0, at + len(data), len(t))

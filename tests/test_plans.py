@@ -26,11 +26,21 @@ def pdfs(spark):
 
 def test_tables(pdfs):
     counts = {t: pdf.table(pdfs, t).where("doc_id = 1").count() for t in pdf.TABLES}
-    assert counts == {"objects": 11, "edges": 13, "pages": 3, "page_resources": 1 * 3 + 0, "images": 0, "fonts": 1, "annots": 0, "content_ops": 12, "drawn": 0, "unreferenced": 1, "status": 1}
+    assert counts == {"objects": 11, "edges": 13, "pages": 3, "page_resources": 1 * 3 + 0, "images": 0, "pixels": 0, "glyphs": 0, "fonts": 1, "annots": 0, "content_ops": 12, "drawn": 0, "unreferenced": 1, "status": 1}
     got = {r["doc_id"]: r["status"] for r in pdf.table(pdfs, "status").collect()}
     assert got == {1: "ok", 2: "ok", 3: "not_pdf", 4: "not_pdf", 5: "ok"}
 
 
+def test_several_tables_from_one_reading(pdfs):
+    asked = {"objects": ["obj", "kind"], "content_ops": ["op"], "status": ["status"]}
+    got = {r["doc_id"]: r for r in pdf.per_document(pdfs, asked).collect()}
+    assert {k: r["status"][0]["status"] for k, r in got.items()} == {1: "ok", 2: "ok", 3: "not_pdf", 4: "not_pdf", 5: "ok"}
+    for name, columns in asked.items():
+        rows = sorted(tuple(r) for r in pdf.table(pdfs, name, columns).collect())
+        assert rows == sorted((k, *x) for k, r in got.items() for x in r[name])
+    assert pdf.per_document(pdfs.limit(0), asked).count() == 0
+
+
 def test_relations(pdfs):
     objects, edges = pdf.table(pdfs, "objects"), pdf.table(pdfs, "edges")
     copies = api.duplicate_streams(objects)

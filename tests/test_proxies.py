@@ -5,9 +5,10 @@ from pathlib import Path
 
 import duckdb
 import pytest
-from quirelight.plans import documents, proxies
+from quirelight.plans import documents, proxies, rewrites
 
-QUERIES, SQL = proxies.queries() | documents.queries(), proxies.oracle_sql() | documents.oracle_sql()
+QUERIES = proxies.queries() | documents.queries() | rewrites.queries()
+SQL = proxies.oracle_sql() | documents.oracle_sql() | rewrites.oracle_sql()
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no test data")
 
