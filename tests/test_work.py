@@ -3,8 +3,9 @@
 import numpy as np
 from pyspark.sql import functions as F
 from quirelight.cos import jpeg
+from quirelight.cos.objects import parse
 from quirelight.cos.passes import Options, compress
-from quirelight.plans.rewrites import _for_lossy, _large
+from quirelight.plans.rewrites import _for_lossy, _large, queries
 from quirelight.sources.synthetic import made, one_page
 
 
@@ -34,3 +35,16 @@ def test_long_runs_of_empty_blocks():
         for progressive in (False, True):
             again = jpeg.read(jpeg.write(image, progressive))
             assert (again.comps[0].blocks == image.comps[0].blocks).all()
+
+
+def test_names_are_kept_and_values_stay():
+    assert parse(b"/Type")[0] is parse(b" %x\n/Type ")[0] and parse(b"/A#42")[0] == "/AB"
+    value, end = parse(b"<</A 12 0 R/B[1 2 R +3 0 R 4-5 -.5 12x(a\\)b)<414>]/C null/D<</E true>>>>x")
+    assert (end, value["/A"], value["/D"]) == (72, (12, 0), {"/E": True}) and "/C" not in value
+    assert value["/B"] == [(1, 2), (3, 0), "4-5", "-.5", b"a)b", b"A@"] and parse(b"12 0 R", refs=False) == (12, 2)
+
+
+def test_files_of_unused_names_are_read_once(spark):
+    df = queries()["unused_names"](spark, "/root/testdata/sf0.001")
+    assert "MapInArrow" not in df._jdf.queryExecution().toString()  # read before, into one table; four times otherwise
+    assert df.count() == spark.read.parquet("/root/testdata/sf0.001/part.parquet").count()
