@@ -14,6 +14,7 @@ from ..cos.objects import Name, Ref, Stream
 from ..cos.passes import Options
 from ..sources import pdf
 from ..sources.synthetic import entries, image, made, one_page, true_type
+from ..staging import stage
 from . import compress as api
 from .registry import Registry
 
@@ -384,8 +385,9 @@ def remove_unused_resources(t):
 def unused_names(t):
     """The same as a relation: what no operator of the page itself names, masks and forms aside."""
     files = made(t("part"), _resources, "p_partkey", "p_size")
-    ops = pdf.table(files, "content_ops", ["owner_kind", "page_no", "op", "operands"]).where("owner_kind = 'page'")
-    found = api.unused_resources(pdf.table(files, "page_resources"), ops)
+    read = stage(pdf.per_document(files, {"content_ops": ["owner_kind", "page_no", "op", "operands"], "page_resources": ["page_no", "category", "name"]}), "unused_names")  # both tables from one reading
+    ops = read.select("doc_id", F.inline("content_ops")).where("owner_kind = 'page'")
+    found = api.unused_resources(read.select("doc_id", F.inline("page_resources")), ops)
     return _named(found.groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list("name")), ",").alias("names")), "p_partkey")
 
 
