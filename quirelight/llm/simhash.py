@@ -169,6 +169,18 @@ def _bucket_keys(blocks: int, radius: int):
     return F.array(*keys)
 
 
+def fingerprint_links(classes: DataFrame, radius: int = 4, blocks: int | None = None) -> DataFrame:
+    """(a, b): of a written table of different fingerprints ``fp``, links whose components are those of all
+    pairs within ``radius`` bits. Distances to the pivots are taken from it, or made if it hasn't them."""
+    if blocks is None:
+        bits = math.log2(max(2, classes.count()))
+        blocks = next(b for b in range(radius + 2, 65) if 64 * (b - radius) / b >= min(bits, 40))
+    classes = classes if "d0" in classes.columns else classes.select("fp", *_distances())
+    tables = [c for c in classes.columns if c not in ("fp", "rep")]
+    dealt = classes.select(F.explode(_bucket_keys(blocks, radius)).alias("bucket"), "fp", *tables)
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_search(radius), "a long, b long")
+
+
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4, blocks: int | None = None) -> DataFrame:
     """One row per row of ``docs``: id, fingerprint (16 hex digits), component_id.
 
@@ -184,12 +196,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     require(docs, id_col, text_col)
     fps = stage(fingerprints(docs, id_col, text_col, words), "fingerprints")
     classes = stage(fps.groupBy("fp").agg(F.min("id").alias("rep")).select("fp", "rep", *_distances()), "classes")
-    if blocks is None:
-        bits = math.log2(max(2, classes.count()))
-        blocks = next(b for b in range(radius + 2, 65) if 64 * (b - radius) / b >= min(bits, 40))
-    tables = [c for c in classes.columns if c not in ("fp", "rep")]
-    dealt = classes.select(F.explode(_bucket_keys(blocks, radius)).alias("bucket"), "fp", *tables)
-    found = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_search(radius), "a long, b long")
+    found = fingerprint_links(classes, radius, blocks)
     groups = connected_components(found).withColumnRenamed("id", "fp")  # of fingerprints, so that null ids are in them too
     named = stage(classes.select("fp", "rep").join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp")), "named")
     least = stage(named.groupBy("component").agg(F.min("rep").alias("component_id")), "least")
